@@ -126,17 +126,20 @@ def _(x):
 
 VECTORS = f"""
 vecs AS (
-  SELECT vec_id AS node, label AS cluster, list_transform(embedding, v -> v::DOUBLE) AS vec,
+  SELECT vec_id AS node, label AS cluster, embedding::DOUBLE[] AS vec,
     ({sql_hash("vec_id::VARCHAR")} % 4)::INT AS partition_id
   FROM embeddings),
 flat AS (SELECT node, cluster, partition_id, unnest(vec) AS v, generate_subscripts(vec, 1) AS i FROM vecs)"""
-CENTRES = """
+GAPS = """
 cells AS (SELECT cluster, i, avg(v) AS v FROM flat GROUP BY cluster, i),
-centres AS (SELECT cluster, list(v ORDER BY i) AS centre FROM cells GROUP BY cluster)"""
-LOCAL_CENTRES = """
+gaps AS (
+  SELECT node, f.cluster AS own, c.cluster AS centre_id, sqrt(sum((f.v - c.v) * (f.v - c.v))) AS distance
+  FROM flat f JOIN cells c USING (i) GROUP BY node, f.cluster, c.cluster)"""
+LOCAL_GAPS = """
 cells AS (SELECT partition_id, cluster, i, avg(v) AS v FROM flat GROUP BY partition_id, cluster, i),
-centres AS (SELECT partition_id, cluster, list(v ORDER BY i) AS centre FROM cells GROUP BY partition_id, cluster)"""
-GAP = "sqrt(list_sum(list_transform(generate_series(1, len(vec)), j -> (vec[j] - centre[j]) * (vec[j] - centre[j]))))"
+gaps AS (
+  SELECT f.partition_id, node, c.cluster, sqrt(sum((f.v - c.v) * (f.v - c.v))) AS distance
+  FROM flat f JOIN cells c USING (partition_id, i) GROUP BY f.partition_id, node, c.cluster)"""
 
 
 def _vectors(x):
@@ -170,7 +173,7 @@ def _(x):
 
 @query(
     "centre_distances",
-    f"WITH {VECTORS}, {CENTRES} SELECT node, c.cluster, round({GAP}, 6) AS distance FROM vecs v CROSS JOIN centres c",
+    f"WITH {VECTORS}, {GAPS} SELECT node, centre_id AS cluster, round(distance, 6) AS distance FROM gaps",
 )
 def _(x):
     vectors = _vectors(x)
@@ -179,9 +182,8 @@ def _(x):
 
 @query(
     "pseudo_centres",
-    f"""WITH {VECTORS}, {CENTRES},
-gaps AS (SELECT c.cluster AS centre_id, node, v.cluster, {GAP} AS distance FROM vecs v CROSS JOIN centres c)
-SELECT centre_id, node, cluster, round(distance, 6) AS distance FROM (
+    f"""WITH {VECTORS}, {GAPS}
+SELECT centre_id, node, own AS cluster, round(distance, 6) AS distance FROM (
   SELECT *, row_number() OVER (PARTITION BY centre_id ORDER BY distance, node) AS r FROM gaps) WHERE r = 1""",
 )
 def _(x):
@@ -193,9 +195,7 @@ def _(x):
 
 @query(
     "nearest_centre",
-    f"""WITH {VECTORS}, {LOCAL_CENTRES},
-gaps AS (
-  SELECT v.partition_id, node, c.cluster, {GAP} AS distance FROM vecs v JOIN centres c USING (partition_id))
+    f"""WITH {VECTORS}, {LOCAL_GAPS}
 SELECT partition_id, node, cluster FROM (
   SELECT *, row_number() OVER (PARTITION BY node ORDER BY distance, cluster) AS r FROM gaps) WHERE r = 1""",
 )
