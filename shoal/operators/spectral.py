@@ -203,16 +203,17 @@ def subspace_embed(
     method: str = "svd",
     by: list[str] | None = None,
     rounds: int = 60,
-    oversample: int = 10,
-    tol: float = 1e-5,
+    oversample: int = 6,
+    tol: float = 1e-3,
     clique: DataFrame | None = None,
 ) -> DataFrame:
     """Embedding by subspace iteration with joins and sums; any size, any group skew.
 
     One round multiplies a block of ``k + oversample`` vectors, held as columns of
-    a ``(by.., node, q0..)`` table, by the matrix (and for 'svd' by its
-    transpose). No matrix, group or block passes through the driver: it sees one
-    number per round. A round ends in a checkpoint, so the lineage stays short.
+    a ``(by.., node, q0..)`` table, a few times by the matrix (for 'svd' by its
+    transpose too) and makes it orthonormal again. No matrix, group or block
+    passes through the driver: it sees one number per round. A round is one job
+    that ends in a checkpoint, so the lineage stays short.
     """
     by = by or ["_g"]
     if by == ["_g"]:
@@ -226,6 +227,8 @@ def subspace_embed(
 
     def product(vectors: DataFrame, end: str, to: str) -> DataFrame:
         """Sum of weight * vector over the other end of every entry."""
+        if extra is not None:
+            vectors = cut_lineage(vectors)  # read twice below
         bound = block_rows * width if end == "dst" else None
         side = checked_broadcast(vectors.withColumnRenamed("node", end), bound)
         out = (
@@ -261,7 +264,7 @@ def subspace_embed(
             gram = gram + np.triu(gram, 1).T
             lam, vec = np.linalg.eigh(gram)
             lam, vec = lam[::-1], vec[:, ::-1]
-            keep = lam > 1e-24 * max(lam[0], 1e-300)
+            keep = lam > 1e-15 * max(lam[0], 1e-300)
             scale = np.where(keep, 1 / np.sqrt(np.where(keep, lam, 1.0)), 0.0)
             out = {c: [pdf[c].iloc[0]] for c in by}
             out["mix"] = [(vec * scale).ravel()]
@@ -289,42 +292,44 @@ def subspace_embed(
 
     if method == "evd":
         # a diagonal shift by the largest absolute row sum makes the order algebraic
-        sums = table.groupBy(*by, "src").agg(F.sum(F.abs("weight")).alias("_a")).groupBy(*by).agg(
-            F.max("_a").alias("_shift")
-        )
+        sums = table.groupBy(*by, "src").agg(F.sum(F.abs("weight")).alias("_a"))
+        largest = sums.groupBy(*by).agg(F.max("_a").alias("weight"))
         if extra is not None:
             square = extra.agg(F.sum(F.col("_s") * F.col("_s"))).scalar()
-            sums = sums.withColumn("_shift", F.col("_shift") + square)
-        shift = cut_lineage(sums)
+            largest = largest.withColumn("weight", F.col("weight") + square)
+        loops = block.select(*by, F.col("node").alias("src"), F.col("node").alias("dst")).join(largest, by)
+        table = table.unionByName(loops).persist()
 
     def step(vectors: DataFrame) -> DataFrame:
-        if method == "svd":
-            # with a clique part the matrix is symmetric, so both products are the same
-            return product(product(vectors, "dst", "src"), "src", "dst")
         moved = product(vectors, "dst", "src")
-        held = vectors.join(checked_broadcast(shift), by)
-        both = moved.unionByName(held.select(*by, "node", *[(F.col(c) * F.col("_shift")).alias(c) for c in q]))
-        return both.groupBy(*by, "node").agg(*[F.sum(c).alias(c) for c in q])
+        # with a clique part the matrix is symmetric, so both products are the same
+        return product(moved, "src", "dst") if method == "svd" else moved
 
     tops = None
     for _ in range(rounds):
-        image = cut_lineage(step(block))
-        mixes = cut_lineage(mixing(small_products(image)))
+        moved = block
+        for _ in range(1 if method == "svd" else 2):
+            moved = step(moved)
+        image = cut_lineage(moved)
+        mixes = mixing(small_products(image)).persist()  # one row per matrix
         block = mixed(image, mixes, width)
         fresh = mixes.select(*by, "top")
         if tops is not None:
-            moved = F.aggregate(
+            gaps = F.aggregate(
                 F.zip_with("top", "_old", lambda a, b: F.abs(a - b) / F.greatest(F.abs(a), F.lit(1e-300))),
                 F.lit(0.0),
                 lambda acc, x: F.greatest(acc, x),
             )
-            change = fresh.join(tops.withColumnRenamed("top", "_old"), by).agg(F.max(moved)).first()[0]
+            change = fresh.join(tops.withColumnRenamed("top", "_old"), by).agg(F.max(gaps)).first()[0]
+            # singular values settle with the square of the error of the vectors
             if change is not None and change < tol * tol:
                 break
         tops = fresh
     if method == "svd":
         # left vectors: the image of the right block, diagonalised by its inner products
         left = cut_lineage(product(block, "dst", "src"))
+        out = mixed(left, mixing(small_products(left)), k)
+        vec = F.array(*q[:k])
     else:
         # Rayleigh quotient of the shifted matrix: its square root is not needed, only its order
         left = cut_lineage(block)
@@ -332,13 +337,9 @@ def subspace_embed(
         paired = left.join(image, [*by, "node"])
         pairs = [F.sum(F.col(q[i]) * F.col(f"z_{q[j]}")) for i in range(width) for j in range(i, width)]
         rayleigh = paired.groupBy(*by).agg(F.array(*pairs).alias("upper"), F.count("*").alias("size"))
-        rotate = mixing(rayleigh)
-        out = mixed(left, rotate, k).join(checked_broadcast(rotate.select(*by, "top")), by)
+        rotate = cut_lineage(mixing(rayleigh))
+        out = mixed(left, rotate, k).join(rotate.select(*by, "top"), by)
         # the block is orthonormal already, so the 1/sqrt(lambda) of the mix is undone
         vec = F.array(*[F.col(q[i]) * F.col("top")[i] for i in range(k)])
-        table.unpersist()
-        return out.select(*[c for c in by if c != "_g"], "node", vec.alias("vec"))
-    final = mixing(small_products(left))
-    out = mixed(left, final, k)
     table.unpersist()
-    return out.select(*[c for c in by if c != "_g"], "node", F.array(*q[:k]).alias("vec"))
+    return out.select(*[c for c in by if c != "_g"], "node", vec.alias("vec"))
