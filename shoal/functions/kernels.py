@@ -125,7 +125,7 @@ def unit_rows(x):
 
 
 def kmeans(x, k, seed=7, tries=10, rounds=100):
-    """Lloyd's k-means with k-means++ starts; best of ``tries``."""
+    """Lloyd's k-means with k-means++ starts; best of ``tries``, clusters in order of appearance."""
     rng = np.random.default_rng(seed)
     best = None
     for _ in range(tries):
@@ -148,4 +148,5 @@ def kmeans(x, k, seed=7, tries=10, rounds=100):
         cost = dist.min(1).sum()
         if best is None or cost < best[0] - 1e-12:
             best = (cost, labels)
-    return best[1]
+    _, first, labels = np.unique(best[1], return_index=True, return_inverse=True)
+    return np.argsort(np.argsort(first))[labels]

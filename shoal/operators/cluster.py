@@ -41,16 +41,23 @@ def kmeans_labels(
 
     Rows are placed by node id over a number of tasks that depends on the data
     only, so neither input order nor the shuffle setting changes the result.
+    Clusters are numbered by their lowest node id.
     """
     tasks = -(-(embedding.count() if rows is None else rows) // rows_per_task) or 1
     placed = embedding.repartition(tasks, "node").sortWithinPartitions("node")
     points = placed.withColumn("features", array_to_vector("vec")).persist()
     models = [KMeans(k=k, seed=seed + i, maxIter=50).fit(points) for i in range(restarts)]
     model = min(models, key=lambda m: m.summary.trainingCost)
-    labelled = model.transform(points).select(*embedding.columns, F.col("prediction").alias("cluster"))
-    # K centres of k numbers
-    found = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
-    centres = embedding.sparkSession.createDataFrame(found, "cluster INT, centre ARRAY<DOUBLE>")
+    found = model.transform(points).select(*embedding.columns, F.col("prediction").alias("_found"))
+    # clusters are numbered by their lowest node: K rows, K centres of k numbers
+    order = found.groupBy("_found").agg(F.min("node").alias("first")).orderBy("first").collect()
+    spots = model.clusterCenters()
+    names = F.create_map(*[F.lit(x) for i, row in enumerate(order) for x in (row["_found"], i)])
+    labelled = found.withColumn("cluster", names[F.col("_found")]).drop("_found")
+    centres = embedding.sparkSession.createDataFrame(
+        [(i, [float(x) for x in spots[row["_found"]]]) for i, row in enumerate(order)],
+        "cluster INT, centre ARRAY<DOUBLE>",
+    )
     return labelled, centres
 
 
