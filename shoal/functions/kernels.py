@@ -9,6 +9,7 @@ from __future__ import annotations
 import numpy as np
 
 DENSE_SIDE = 600  # up to this many columns the Gram matrix is held dense
+DENSE_RESCUE = 3_000  # and up to this many if the iteration does not settle soon
 CHUNK = 1 << 20  # entries multiplied at a time
 
 
@@ -58,12 +59,17 @@ class Sparse:
         return out
 
 
-def top_eigenvectors(apply, size, k, seed=7, width=4, depth=8, restarts=60, tol=1e-6):
-    """Top-k eigenpairs of a positive semidefinite operator by restarted block Krylov."""
+def top_eigenvectors(apply, size, k, seed=7, width=4, depth=8, restarts=60, tol=1e-6, dense=None):
+    """Top-k eigenpairs of a positive semidefinite operator by restarted block Krylov.
+
+    ``dense`` builds the matrix; it is factored whole if the size allows it and
+    the leading eigenvalues lie too close together for a quick iteration.
+    """
+    rescue = dense is not None and size <= DENSE_RESCUE
     rng = np.random.default_rng(seed)
     block = min(size, k + width)
     start = np.linalg.qr(rng.standard_normal((size, block)))[0]
-    for _ in range(restarts):
+    for _ in range(6 if rescue else restarts):
         basis = [start]
         for _ in range(depth - 1):
             if sum(b.shape[1] for b in basis) >= size:
@@ -84,7 +90,10 @@ def top_eigenvectors(apply, size, k, seed=7, width=4, depth=8, restarts=60, tol=
         vals, start = vals[order], space @ vecs[:, order]
         residual = np.linalg.norm(image @ vecs[:, order[:k]] - start[:, :k] * vals[:k], axis=0)
         if (residual <= tol * max(abs(vals[0]), 1e-300)).all():
-            break
+            return vals[:k], start[:, :k]
+    if rescue:
+        vals, vecs = np.linalg.eigh(dense())
+        return vals[::-1][:k], vecs[:, ::-1][:, :k]
     return vals[:k], start[:, :k]
 
 
@@ -96,7 +105,7 @@ def left_singular(rows, cols, vals, shape, k):
         lam, v = np.linalg.eigh(entries.gram())
         lam, v = lam[::-1][:k], v[:, ::-1][:, :k]
     else:
-        lam, v = top_eigenvectors(lambda x: entries.t_times(entries.times(x)), shape[1], k)
+        lam, v = top_eigenvectors(lambda x: entries.t_times(entries.times(x)), shape[1], k, dense=entries.gram)
     sigma = np.sqrt(np.maximum(lam, 0.0))
     alive = sigma > 1e-9 * max(sigma.max(initial=0.0), 1e-300)
     u = entries.times(v)

@@ -24,9 +24,10 @@ from shoal.operators.split import pilot_columns, within_partition_subgraph
 from shoal.session import checked_broadcast, cut_lineage, has_at_most
 
 # Largest partition (rows of entries and nodes) that one grouped-map task takes.
-GROUP_ROWS = 4_000_000
-# Most pilot entries that are shipped to every task.
-PILOT_ENTRIES = 4_000_000
+GROUP_ROWS = 2_000_000
+# Most pilot entries, and most pilots, that are shipped to every task.
+PILOT_ENTRIES = 2_000_000
+PILOT_SIDE = 500_000
 
 
 def kmeans_labels(
@@ -215,7 +216,10 @@ def partition_clustering(
     ).persist()
     core = pilot_columns(pilot_columns(pilot_edges, pilots, "src", pilot_bound), pilots, "dst", pilot_bound)
     sizes = rows.groupBy("partition_id").agg(F.count("*").alias("n")).persist()
-    small_core = has_at_most(pilot_edges, pilot_entries) if core_size is None else core_size <= pilot_entries
+    m = pilots.count() if pilot_bound is None else pilot_bound
+    small_core = m <= PILOT_SIDE and (
+        has_at_most(pilot_edges, pilot_entries) if core_size is None else core_size <= pilot_entries
+    )
     hot = sizes.where(F.col("n") > group_rows) if small_core else sizes
     if not hot.take(1):
         return _cluster_groups(rows, core, pilots, pseudo, regularize)
@@ -331,6 +335,7 @@ def local_spectral_clustering(
     nodes: DataFrame,
     k: int,
     self_weight: float = 10.0,
+    partitions: int | None = None,
     group_rows: int = GROUP_ROWS,
     seed: int = 7,
 ) -> DataFrame:
@@ -338,12 +343,13 @@ def local_spectral_clustering(
 
     ``edges`` is symmetric, ``nodes`` is ``(node, partition_id)``. A partition of
     fewer than ``k`` nodes has one cluster per node. Partitions of more than
-    ``group_rows`` entries take the joins-and-sums route.
+    ``group_rows`` entries take the joins-and-sums route. ``partitions`` says
+    that the partitions are those of ``assign_partitions``; edges then need no join.
     """
     loops = nodes.select(
         "partition_id", F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(float(self_weight)).alias("weight")
     )
-    inside = within_partition_subgraph(edges.where("src != dst").select("src", "dst", "weight"), nodes)
+    inside = within_partition_subgraph(edges.where("src != dst").select("src", "dst", "weight"), nodes, partitions)
     entries = inside.unionByName(loops).persist()
     sizes = entries.groupBy("partition_id").agg(F.count("*").alias("n"))
     hot = sizes.where(F.col("n") > group_rows).select("partition_id").persist()

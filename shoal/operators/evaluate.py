@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from shoal.operators.graph import dedupe_edges, drop_self_edges
 
 # Up to this many clusters every permutation is tried; above, the assignment is solved.
-PERMUTED_CLUSTERS = 8
+PERMUTED_CLUSTERS = 7
 
 
 def members_of(result: DataFrame, value: int, col: str = "label") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from shoal.session import BROADCAST_ROWS, has_at_most
 
-GROUP_ROWS = 4_000_000
+GROUP_ROWS = 2_000_000
 
 
 def grouped_map(

@@ -17,7 +17,7 @@ from shoal.operators.split import in_degree, mean_degree, out_degree
 from shoal.session import checked_broadcast, cut_lineage, has_at_most
 
 # A matrix with at most this many entries is factored inside one task.
-LOCAL_ENTRIES = 2_000_000
+LOCAL_ENTRIES = 1_000_000
 
 # Factor of a row without any entry. It touches no entry, so it never shows in a result.
 EMPTY_ROW_FACTOR = 10_000.0

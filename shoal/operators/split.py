@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoal.functions.columns import hash32
@@ -72,9 +72,18 @@ def worker_nodes(nodes: DataFrame, pilots: DataFrame, pilot_bound: int | None =
     return nodes.join(checked_broadcast(pilots.select("node"), pilot_bound), "node", "left_anti")
 
 
+def partition_of(node: Column | str, partitions: int) -> Column:
+    """Uniform partition 0..M-1 from the hash of a node id.
+
+    Being a function of the id alone it is computed on edges directly: an edge
+    finds the partition of either end without a join.
+    """
+    return F.pmod(hash32(node), F.lit(partitions)).cast("int")
+
+
 def assign_partitions(nodes: DataFrame, partitions: int) -> DataFrame:
-    """Uniform partition 0..M-1 per node, from the hash of the node id."""
-    return nodes.withColumn("partition_id", F.pmod(hash32("node"), F.lit(partitions)).cast("int"))
+    """Uniform partition 0..M-1 per node."""
+    return nodes.withColumn("partition_id", partition_of("node", partitions))
 
 
 def inherit_partition(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -97,8 +106,17 @@ def worker_pilot_edges(edges: DataFrame, pilots: DataFrame, pilot_bound: int | N
     return edges.join(dst, "dst", "left_semi").join(src, "src", "left_anti").select(*edges.columns)
 
 
-def within_partition_subgraph(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges with both ends in the same partition."""
+def within_partition_subgraph(
+    edges: DataFrame, nodes: DataFrame | None = None, partitions: int | None = None
+) -> DataFrame:
+    """Edges with both ends in the same partition.
+
+    ``nodes (node, partition_id)`` gives the partitions; or ``partitions``, for
+    those of ``assign_partitions``, which need no join and no shuffle.
+    """
+    if partitions is not None:
+        inside = edges.where(partition_of("src", partitions) == partition_of("dst", partitions))
+        return inside.select(partition_of("src", partitions).alias("partition_id"), *edges.columns)
     parts = checked_broadcast(nodes.select("node", "partition_id"))
     src = parts.select(F.col("node").alias("src"), "partition_id")
     dst = parts.select(F.col("node").alias("dst"), F.col("partition_id").alias("_p"))
@@ -154,8 +172,9 @@ def split_pilot_worker(
     if partitions is None:
         worker_edges = inherit_partition(worker_edges, workers)
     else:
-        placed = assign_partitions(worker_edges.withColumnRenamed("src", "node"), partitions)
-        worker_edges = placed.select("partition_id", F.col("node").alias("src"), "dst", "weight")
+        worker_edges = worker_edges.select(
+            partition_of("src", partitions).alias("partition_id"), "src", "dst", "weight"
+        )
     return Split(pilots, workers, pilot_subgraph(edges, pilots, m), worker_edges, m)
 
 

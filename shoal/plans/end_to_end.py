@@ -98,7 +98,8 @@ def divide_conquer_clustering(
     edges = edges.persist()
     if partitions is not None:
         nodes = assign_partitions(nodes, partitions)
-    local = cut_lineage(local_spectral_clustering(edges, nodes.select("node", "partition_id"), k, seed=seed, **options))
+    placed = nodes.select("node", "partition_id")
+    local = cut_lineage(local_spectral_clustering(edges, placed, k, partitions=partitions, seed=seed, **options))
     supers = cut_lineage(build_supernodes(local, min_size, groups, retain_left))
     if threshold is None:
         n = nodes.count()

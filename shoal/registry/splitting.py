@@ -114,6 +114,11 @@ def _(x):
     return split.within_partition_subgraph(x.sym, x.nodes)
 
 
+@query("within_partition_by_hash", sql(WITHIN))
+def _(x):
+    return split.within_partition_subgraph(x.sym, partitions=4)
+
+
 @query(
     "node_feature_rows",
     sql(
