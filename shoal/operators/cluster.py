@@ -91,16 +91,19 @@ def _nearest(vec: Column, packed: Column) -> Column:
     return F.when(l2_norm(vec) == 0, first).otherwise(F.array_min(measured)["c"])
 
 
-def nearest_centre(rows: DataFrame, centres: DataFrame, by: list[str] | None = None) -> DataFrame:
+def nearest_centre(
+    rows: DataFrame, centres: DataFrame, by: list[str] | None = None, groups: int | None = None
+) -> DataFrame:
     """Each row takes the cluster of the nearest centre of its own group.
 
     ``rows`` is ``(by.., node, vec)``, ``centres`` is ``(by.., cluster, centre, rank)``.
     The K centres of a group travel as one array, so rows are never multiplied.
+    ``groups`` is the number of groups where it is known.
     """
     by = by or []
     pack = F.collect_list(F.struct("cluster", "centre", "rank")).alias("_packed")
     if by:
-        joined = rows.join(checked_broadcast(centres.groupBy(*by).agg(pack)), by)
+        joined = rows.join(checked_broadcast(centres.groupBy(*by).agg(pack), groups), by)
     else:
         joined = rows.withColumn("_packed", centres.agg(pack).scalar())
     return joined.withColumn("cluster", _nearest(F.col("vec"), F.col("_packed"))).drop("_packed", "vec")
@@ -121,9 +124,10 @@ def kmeans_by(embedding: DataFrame, k: int, by: list[str], rounds: int = 50) ->
             *by, F.array(F.struct(F.lit(0).alias("cluster"), F.col("_m.vec").alias("centre"))).alias("_c")
         )
     )
+    groups = centres.count()
     gap = F.array_min(F.transform("_c", lambda c: euclidean("vec", c["centre"])))
     for i in range(1, k):
-        far = points.join(centres, by).groupBy(*by).agg(
+        far = points.join(checked_broadcast(centres, groups), by).groupBy(*by).agg(
             F.max(F.struct(gap.alias("d"), (-F.col("node")).alias("n"), "vec", "_c")).alias("_f")
         )
         fresh = F.struct(F.lit(i).alias("cluster"), F.col("_f.vec").alias("centre"))
@@ -133,7 +137,7 @@ def kmeans_by(embedding: DataFrame, k: int, by: list[str], rounds: int = 50) ->
     )["c"]
     dims = len(points.select("vec").head()[0])
     for _ in range(rounds):
-        sums = points.join(centres, by).groupBy(*by, near.alias("cluster")).agg(
+        sums = points.join(checked_broadcast(centres, groups), by).groupBy(*by, near.alias("cluster")).agg(
             F.array(*[F.avg(F.col("vec")[i]) for i in range(dims)]).alias("centre")
         )
         fresh = pack(sums)
@@ -142,7 +146,7 @@ def kmeans_by(embedding: DataFrame, k: int, by: list[str], rounds: int = 50) ->
         centres = fresh
         if not moved:
             break
-    return points.join(centres, by).select(*by, "node", near.alias("cluster"))
+    return points.join(checked_broadcast(centres, groups), by).select(*by, "node", near.alias("cluster"))
 
 
 class PilotClusters(NamedTuple):
@@ -303,7 +307,7 @@ def _cluster_spread(
         "partition_id", "cluster", F.col("vec").alias("centre"), "rank"
     )
     mine = vectors.where(F.col("node.kind") == 1).select("partition_id", F.col("node.id").alias("node"), "vec")
-    placed = nearest_centre(mine, centres, ["partition_id"])
+    placed = nearest_centre(mine, centres, ["partition_id"], parts.count())
     first = pseudo.agg(F.min("cluster")).scalar()
     return own.join(placed.select("node", "cluster"), "node", "left").select(
         "node", "label", F.coalesce("cluster", first).alias("cluster")

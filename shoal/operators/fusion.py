@@ -31,7 +31,10 @@ def local_cluster_members(local: DataFrame, block: int = LIST_BLOCK) -> DataFram
     part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("node"), F.col("parts"))).cast("int")
     return (
         local.join(large, CLUSTER, "left")
-        .groupBy(*CLUSTER, part.alias("part"))
+        .withColumn("part", part)
+        # by cluster alone all parts of a large one would meet in one task again
+        .repartition(*CLUSTER, "part")
+        .groupBy(*CLUSTER, "part")
         .agg(F.array_sort(F.collect_list("node")).alias("members"))
     )
 

@@ -70,7 +70,7 @@ def encode_labels(df: DataFrame, col: str, mapping: dict[str, int] | None = None
         pairs = F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
         return df.withColumn(out, pairs[F.col(col)].cast("int"))
     codes = dense_index(df.where(F.col(col).isNotNull()), col, out=out).withColumn(out, F.col(out).cast("int"))
-    return df.join(checked_broadcast(codes), col, "left")
+    return df.join(codes, col, "left")
 
 
 def shift_labels(df: DataFrame, col: str = "label", by: int = 1) -> DataFrame:
@@ -92,7 +92,7 @@ def map_endpoints(
         lost = unknown_endpoints(edges, index, id_col).take(1)
         if lost:
             raise ValueError(f"edge endpoint not in the node table: {lost[0][0]!r}")
-    names = checked_broadcast(index.select(id_col, node_col))
+    names = index.select(id_col, node_col)
     for end in ("src", "dst"):
         to = names.select(F.col(id_col).alias(end), F.col(node_col).alias("_to"))
         edges = edges.join(to, end).drop(end).withColumnRenamed("_to", end)
@@ -153,6 +153,8 @@ def adjacency_list(edges: DataFrame, nodes: DataFrame, block: int = LIST_BLOCK)
     lists = (
         blocks.join(hubs, "src", "left")
         .withColumn("part", part)
+        # by src alone all parts of a hub would meet in one task again
+        .repartition("src", "part")
         .groupBy("src", "part")
         .agg(F.array_sort(F.flatten(F.collect_list(F.expr("array_repeat(dst, copies)")))).alias("nbrs"))
         .withColumnRenamed("src", "node")
@@ -192,7 +194,7 @@ def distinct_nodes(edges: DataFrame, by: list[str] | None = None) -> DataFrame:
 def row_edges(edges: DataFrame, rows: DataFrame | Iterable[int], exclude: bool = False) -> DataFrame:
     """Edges of the given row nodes, or of all others with ``exclude``."""
     if isinstance(rows, DataFrame):
-        keys = checked_broadcast(rows.select(F.col("node").alias("src")))
+        keys = rows.select(F.col("node").alias("src"))
         return edges.join(keys, "src", "left_anti" if exclude else "left_semi").select(*edges.columns)
     inside = F.col("src").isin(list(rows))
     return edges.where(~inside if exclude else inside)
@@ -210,7 +212,7 @@ def edge_check(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     missing = [c for c in ("src", "dst", "weight") if c not in edges.columns]
     if missing:
         raise ValueError(f"edge table lacks {missing}")
-    known = checked_broadcast(nodes.select("node").distinct())
+    known = nodes.select("node").distinct()
     pairs = edges.select("src", "dst", "weight")
     tests = (
         pairs.join(known.select(F.col("node").alias("src"), F.lit(True).alias("_s")), "src", "left")

@@ -36,7 +36,9 @@ def grouped_map(
         pieces = sizes.select(*by, F.expr(f"_n div {group_rows} + 1").alias("_pieces"))
         slot = F.pmod(F.xxhash64(split_on), F.coalesce("_pieces", F.lit(1)))
         cut = df.join(pieces, by, "left").withColumn("_slot", slot).drop("_pieces")
-        parts = cut.groupBy(*by, "_slot").applyInPandas(lambda pdf: fn(pdf.drop(columns="_slot")), schema)
+        # by the keys alone all pieces of a group would meet in one task again
+        placed = cut.repartition(*by, "_slot")
+        parts = placed.groupBy(*by, "_slot").applyInPandas(lambda pdf: fn(pdf.drop(columns="_slot")), schema)
         return merge(parts)
     largest = df.groupBy(*by).agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0
     if largest > group_rows:

@@ -25,8 +25,8 @@ EMPTY_ROW_FACTOR = 10_000.0
 
 def _scaled(edges: DataFrame, left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
     """weight / sqrt(left[src] * right[dst])."""
-    a = checked_broadcast(left).withColumnRenamed("node", "src").withColumnRenamed("scale", "_l")
-    b = checked_broadcast(right).withColumnRenamed("node", "dst").withColumnRenamed("scale", "_r")
+    a = left.withColumnRenamed("node", "src").withColumnRenamed("scale", "_l")
+    b = right.withColumnRenamed("node", "dst").withColumnRenamed("scale", "_r")
     value = F.col("weight") / F.sqrt(F.col("_l") * F.col("_r"))
     return edges.join(a, [*by, "src"]).join(b, [*by, "dst"]).select(*by, "src", "dst", value.alias("weight"))
 
@@ -51,7 +51,7 @@ def _degrees(edges: DataFrame, end: str, by: list[str], regularize: bool, rows:
         n = count.agg(F.count("*"))
         return degree.select("node", (F.col("scale") + total.scalar() / n.scalar()).alias("scale"))
     n = count.groupBy(*by).agg(F.count("*").alias("_n"))
-    mean = checked_broadcast(total.join(n, by).select(*by, (F.col("_t") / F.col("_n")).alias("_mean")))
+    mean = total.join(n, by).select(*by, (F.col("_t") / F.col("_n")).alias("_mean"))
     return degree.join(mean, by).select(*by, "node", (F.col("scale") + F.col("_mean")).alias("scale"))
 
 
@@ -275,7 +275,7 @@ def subspace_embed(
         return products.groupBy(*by).applyInPandas(mix, f"{fields}, mix array<double>, top array<double>")
 
     def mixed(vectors: DataFrame, mixes: DataFrame, count: int) -> DataFrame:
-        joined = vectors.join(checked_broadcast(mixes.select(*by, "mix")), by)
+        joined = vectors.join(checked_broadcast(mixes.select(*by, "mix"), matrices * width), by)
         new = []
         for j in range(count):
             terms = [F.col(q[i]) * F.col("mix")[i * width + j] for i in range(width)]
@@ -289,6 +289,8 @@ def subspace_embed(
     draw = [(F.xxhash64("node", F.lit(i)) / F.lit(2.0**63)).alias(c) for i, c in enumerate(q)]
     block = cut_lineage(names.distinct().select(*by, "node", *draw))
     block_rows = block.count()
+    # one small row per matrix is broadcast: a join on ``by`` would put a matrix in one task
+    matrices = block.select(*by).distinct().count()
 
     if method == "evd":
         # a diagonal shift by the largest absolute row sum makes the order algebraic
@@ -297,7 +299,9 @@ def subspace_embed(
         if extra is not None:
             square = extra.agg(F.sum(F.col("_s") * F.col("_s"))).scalar()
             largest = largest.withColumn("weight", F.col("weight") + square)
-        loops = block.select(*by, F.col("node").alias("src"), F.col("node").alias("dst")).join(largest, by)
+        loops = block.select(*by, F.col("node").alias("src"), F.col("node").alias("dst")).join(
+            checked_broadcast(largest, matrices), by
+        )
         table = table.unionByName(loops).persist()
 
     def step(vectors: DataFrame) -> DataFrame:
@@ -338,7 +342,9 @@ def subspace_embed(
         pairs = [F.sum(F.col(q[i]) * F.col(f"z_{q[j]}")) for i in range(width) for j in range(i, width)]
         rayleigh = paired.groupBy(*by).agg(F.array(*pairs).alias("upper"), F.count("*").alias("size"))
         rotate = cut_lineage(mixing(rayleigh))
-        out = mixed(left, rotate, k).join(rotate.select(*by, "top"), by)
+        out = mixed(left, rotate, k).join(
+            checked_broadcast(rotate.select(*by, "top"), matrices), by
+        )
         # the block is orthonormal already, so the 1/sqrt(lambda) of the mix is undone
         vec = F.array(*[F.col(q[i]) * F.col("top")[i] for i in range(k)])
     table.unpersist()

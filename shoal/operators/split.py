@@ -88,7 +88,7 @@ def assign_partitions(nodes: DataFrame, partitions: int) -> DataFrame:
 
 def inherit_partition(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Every edge gets the partition of its row node."""
-    parts = checked_broadcast(nodes.select(F.col("node").alias("src"), "partition_id"))
+    parts = nodes.select(F.col("node").alias("src"), "partition_id")
     return edges.join(parts, "src").select("partition_id", *edges.columns)
 
 
@@ -117,7 +117,7 @@ def within_partition_subgraph(
     if partitions is not None:
         inside = edges.where(partition_of("src", partitions) == partition_of("dst", partitions))
         return inside.select(partition_of("src", partitions).alias("partition_id"), *edges.columns)
-    parts = checked_broadcast(nodes.select("node", "partition_id"))
+    parts = nodes.select("node", "partition_id")
     src = parts.select(F.col("node").alias("src"), "partition_id")
     dst = parts.select(F.col("node").alias("dst"), F.col("partition_id").alias("_p"))
     return (
@@ -200,13 +200,13 @@ def range_repartition(df: DataFrame, col: str = "partition_id", partitions: int
 
 def neighbours_in_set(edges: DataFrame, chosen: DataFrame) -> DataFrame:
     """Distinct neighbours of each node inside a node set."""
-    keys = checked_broadcast(chosen.select(F.col("node").alias("dst")))
+    keys = chosen.select(F.col("node").alias("dst"))
     return edges.select("src", "dst").join(keys, "dst", "left_semi").select("src", "dst").distinct()
 
 
 def neighbours_outside_set(edges: DataFrame, chosen: DataFrame) -> DataFrame:
     """Distinct neighbours of each node outside a node set."""
-    keys = checked_broadcast(chosen.select(F.col("node").alias("dst")))
+    keys = chosen.select(F.col("node").alias("dst"))
     return edges.select("src", "dst").join(keys, "dst", "left_anti").select("src", "dst").distinct()
 
 
