@@ -24,6 +24,7 @@ class Inputs:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
         self._made: dict[str, DataFrame] = {}
+        self._m: int | None = None
 
     def _once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         if name not in self._made:
@@ -53,7 +54,9 @@ class Inputs:
 
     @property
     def m(self) -> int:
-        return split.pilots_for_ratio(self.nodes, RATIO)
+        if self._m is None:
+            self._m = split.pilots_for_ratio(self.nodes, RATIO)
+        return self._m
 
     @property
     def pilots(self) -> DataFrame:

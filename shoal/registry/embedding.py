@@ -214,8 +214,8 @@ def _unpacked(embedding):
 
 def _pilot_parts(x):
     parts = split.split_pilot_worker(x.planted, x.nodes.select("node", "label"), x.m, 4)
-    core = graph.add_self_weight(parts.pilot_edges, parts.pilots)
-    return parts, core
+    # several plans read the pilot graph
+    return parts, graph.add_self_weight(parts.pilot_edges, parts.pilots).persist()
 
 
 @query("spectral_embed_svd")
