@@ -26,5 +26,7 @@ def write_pilot_csv(result: DataFrame, path: str, mode: str = "errorifexists") -
 
 def write_result_json(result: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Clustering result as JSON: one file while small, one file per task beyond."""
+    result = result.persist()  # counted, then written
     out = result.coalesce(1) if has_at_most(result, SINGLE_FILE_ROWS) else result
     out.write.mode(mode).json(path)
+    result.unpersist()
