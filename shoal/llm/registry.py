@@ -44,3 +44,65 @@ def _(table):
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+def _sql_pieces(kind: str, rank: int, pattern: str, group: int, least: int) -> str:
+    """SQL rows ``(doc_id, start, rank, kind, stop)`` of one base rule."""
+    p = pattern.replace("'", "''")
+    return f"""
+  SELECT doc_id, start, {rank} AS rank, '{kind}' AS kind, stop FROM (
+    SELECT doc_id, u.hold AS hold,
+      (sum(u.gap + u.hit) OVER w)::BIGINT AS stop, (sum(u.gap + u.hit) OVER w)::BIGINT - u.hit AS start
+    FROM (
+      SELECT doc_id, unnest([{{'i': i, 'gap': length(g[i]), 'hit': length(h[i]), 'hold': length(v[i]) >= {least}}}
+        for i in range(1, len(h) + 1)]) AS u
+      FROM (
+        SELECT doc_id, string_split_regex(t, '{p}') AS g,
+          regexp_extract_all(t, '{p}') AS h, regexp_extract_all(t, '{p}', {group}) AS v
+        FROM texts WHERE regexp_matches(t, '{p}')))
+    WINDOW w AS (PARTITION BY doc_id ORDER BY u.i)) WHERE hold"""
+
+
+def _op2_sql() -> str:
+    from shoal.llm.secret_scan import RULES
+
+    rows = []
+    for rank, r in enumerate(RULES):
+        pattern = r.pattern
+        if r.group == 2:
+            # Plain classes: case folding beyond ASCII differs between engines.
+            name, rest = "password|passwd|secret|token|api_?key", pattern.partition("))")[2]
+            folded = "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in name)
+            pattern = f"({folded}){rest}"
+        rows.append(_sql_pieces(r.kind, rank, pattern.replace("\\x20", " "), r.group, r.least))
+    said = "kind || ':' || start || ':' || stop"
+    return (
+        "WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), found AS ("
+        + " UNION ALL ".join(rows)
+        + f"""),
+by_doc AS (
+  SELECT doc_id, count(*) FILTER (rank = 0) AS a, count(*) FILTER (rank = 1) AS k, count(*) FILTER (rank = 2) AS h,
+    string_agg({said}, ',' ORDER BY start, rank) FILTER (rank < 3) AS base,
+    string_agg({said}, ',' ORDER BY start, rank) AS spans
+  FROM found GROUP BY doc_id)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(k, 0) AS n_access, coalesce(h, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents LEFT JOIN by_doc USING (doc_id)"""
+    )
+
+
+@query("op2_secret_scan", _op2_sql())
+def _(table):
+    from shoal.llm.secret_scan import as_text, findings_by_path
+
+    spans = F.col("spans")
+    count = lambda rank: F.coalesce(
+        F.size(F.filter(spans, lambda s: s["rank"] == rank)).cast("long"), F.lit(0).cast("long")
+    )
+    found = findings_by_path(table("documents"))
+    return found.select(
+        "doc_id",
+        *[F.when(spans.isNull(), F.lit(0).cast("long")).otherwise(count(k)).alias(n) for k, n in enumerate(("n_assign", "n_access", "n_hex"))],
+        F.sha2(as_text(F.filter(spans, lambda s: s["rank"] < 3)), 256).alias("base_sha256"),
+        as_text(spans).alias("spans"),
+    )
