@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructField, StructType
 
 from shoal.session import shared_dir, ship_package
 
@@ -88,3 +93,25 @@ def shingle_set(words: list[bytes], known: WordHashes, k: int = 5) -> np.ndarray
 def signed(x: np.ndarray) -> np.ndarray:
     """Unsigned 64-bit values as the longs of Spark."""
     return x.astype(np.uint64, copy=False).view(np.int64)
+
+
+def add_from_text(
+    df: DataFrame, text_col: str, keep: list[str], fields: list[StructField], make: Callable[[], Callable]
+) -> DataFrame:
+    """Columns ``keep`` of ``df`` unchanged, and ``fields`` computed from its texts in Arrow batches.
+
+    ``make()`` runs once per task and gives a function from a list of texts to one list
+    per field. Texts are not passed on; the kept columns never leave Arrow.
+    """
+    taken = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("_text"))
+    schema = StructType([*(taken.schema[c] for c in keep), *fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of_texts = make()
+        for batch in batches:
+            new = of_texts(batch.column(len(keep)).to_pylist())
+            arrays = [batch.column(i) for i in range(len(keep))]
+            arrays += [pa.array(v, type=to_arrow_type(f.dataType)) for v, f in zip(new, fields)]
+            yield pa.RecordBatch.from_arrays(arrays, names=schema.fieldNames())
+
+    return taken.mapInArrow(run, schema)

@@ -106,3 +106,76 @@ def _(table):
         F.sha2(as_text(F.filter(spans, lambda s: s["rank"] < 3)), 256).alias("base_sha256"),
         as_text(spans).alias("spans"),
     )
+
+
+def _op4_sql() -> str:
+    from shoal.llm.quality_rules import FEW_WORDS, GROUP_ROWS, MEASURES, SPREADS
+
+    word = r"[^\x20\x09-\x0D]+"
+    ratios = ", ".join(
+        f"CASE WHEN {w} > 0 THEN 1000 * {p} // {w} ELSE 0 END AS m_{m}" for m, (p, w, _) in MEASURES.items()
+    )
+    rows = " UNION ALL ".join(
+        f"SELECT lang, source, '{m}' AS measure, m_{m} AS v FROM measured WHERE n_words > 0" for m in MEASURES
+    )
+    least = "CASE measure " + " ".join(f"WHEN '{m}' THEN {s}" for m, (_, _, s) in MEASURES.items()) + " END"
+
+    def level(name: str, by: str) -> str:
+        over = f"PARTITION BY {by}measure"
+        return f"""
+{name} AS (
+  SELECT {by}measure, greatest(q3 + {SPREADS} * (q3 - q2), q2 + {least}) AS lim, docs FROM (
+    SELECT {by}measure, min(b) FILTER (upto * 4 >= docs * 2) AS q2, min(b) FILTER (upto * 4 >= docs * 3) AS q3,
+      any_value(docs) AS docs
+    FROM (SELECT {by}measure, b, sum(n) OVER ({over} ORDER BY b) AS upto, sum(n) OVER ({over}) AS docs
+          FROM (SELECT {by}measure, b, count(*) AS n FROM buckets GROUP BY {by}measure, b))
+    GROUP BY {by}measure))"""
+
+    limit = lambda m: f"""coalesce(
+    (SELECT lim FROM own o WHERE o.measure = '{m}' AND o.docs >= {GROUP_ROWS}
+       AND o.lang IS NOT DISTINCT FROM d.lang AND o.source IS NOT DISTINCT FROM d.source),
+    (SELECT lim FROM by_lang o WHERE o.measure = '{m}' AND o.docs >= {GROUP_ROWS} AND o.lang IS NOT DISTINCT FROM d.lang),
+    (SELECT lim FROM every o WHERE o.measure = '{m}'), 1000000000)"""
+    held = " OR ".join(f"m_{m} > {limit(m)}" for m in MEASURES)
+    return f"""
+WITH texts AS MATERIALIZED (
+  SELECT doc_id, lang, source, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '{word}') AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM texts WHERE len(w) >= 3)),
+twice AS (SELECT doc_id, g FROM windows GROUP BY doc_id, g HAVING count(*) > 1),
+hit AS (
+  SELECT doc_id, count(DISTINCT i + o) AS n FROM windows JOIN twice USING (doc_id, g), (SELECT unnest([0, 1, 2]) AS o)
+  GROUP BY doc_id),
+lines AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n_dup
+  FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM texts)
+  WHERE regexp_matches(l, '{word}') GROUP BY doc_id),
+counted AS (
+  SELECT x.doc_id, lang, source, len(w)::BIGINT AS n_words,
+    length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars,
+    length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_upper,
+    coalesce(n_dup, 0) AS n_dup_lines, coalesce(n_lines, 0) AS n_lines, coalesce(hit.n, 0) AS n_repeat_words
+  FROM texts x LEFT JOIN hit USING (doc_id) LEFT JOIN lines USING (doc_id)),
+measured AS MATERIALIZED (SELECT *, {ratios} FROM counted),
+buckets AS MATERIALIZED (
+  SELECT lang, source, measure, v - v % (1::BIGINT << greatest(length(bin(v)) - 6, 0)::BIGINT) AS b FROM ({rows})),
+{level("own", "lang, source, ")},
+{level("by_lang", "lang, ")},
+{level("every", "")},
+verdict AS (
+  SELECT *, n_words < {FEW_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed, {held} AS held FROM measured d)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT held AS kept
+FROM verdict"""
+
+
+@query("op4_quality_rules", _op4_sql())
+def _(table):
+    from shoal.llm.quality_rules import quality_verdicts
+
+    return quality_verdicts(table("documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
