@@ -179,3 +179,10 @@ def _(table):
     return quality_verdicts(table("documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+@query("op3_quality_classifier")
+def _(table):
+    from shoal.llm.quality_classifier import quality_query
+
+    return quality_query(table("documents"), table("labels"))
