@@ -186,3 +186,10 @@ def _(table):
     from shoal.llm.quality_classifier import quality_query
 
     return quality_query(table("documents"), table("labels"))
+
+
+@query("op5_toxicity")
+def _(table):
+    from shoal.llm.toxicity import toxicity_query
+
+    return toxicity_query(table("documents"), table("labels"))
