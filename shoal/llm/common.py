@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructField, StructType
 
-from shoal.session import shared_dir, ship_package
+from shoal.session import scratch_path, shared_dir, ship_package
 
 # Rows of one Arrow batch: whole texts travel, so a batch is kept small.
 BATCH_ROWS = 1000
@@ -25,6 +25,13 @@ def ready(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder, read back: lineage ends there."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def text_key(text: Column) -> Column:
     """128 bits of a text as a struct of two longs; equal texts have equal keys."""
     return F.struct(F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(17), text).alias("k2"))
