@@ -91,19 +91,19 @@ def _signed_rows(keyed: DataFrame, frequent) -> DataFrame:
         often = frequent.value
         for batch in batches:
             sigs, keys = [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if key in done:
+            for key, more, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if (key, more) in done:
                     continue
                 if len(done) >= REMEMBERED:
                     done.clear()
-                done.add(key)
+                done.add((key, more))
                 made = signatures(shingle_set(ascii_words(text), known, SHINGLE), often, P, Q)
                 sigs.append(made)
                 keys.append(np.full(len(made), key, np.int64))
             if sigs:
                 yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(sigs))), pa.array(np.concatenate(keys))], names=["sig", "k1"])
 
-    return keyed.select("k1", "text").mapInArrow(run, "sig long, k1 long")
+    return keyed.select("k1", "k2", "text").mapInArrow(run, "sig long, k1 long")
 
 
 def _collisions(signed_rows: DataFrame) -> DataFrame:

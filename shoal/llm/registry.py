@@ -259,3 +259,26 @@ def _(table):
     from shoal.llm.jaccard_join import jaccard_components
 
     return jaccard_components(table("documents"))
+
+
+OP10_SQL = r"""
+WITH texts AS (
+  SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    count(*) OVER (PARTITION BY coalesce(text, '')) > 1 AS whole_copy FROM documents),
+spans AS MATERIALIZED (
+  SELECT doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM texts WHERE len(w) >= 50)),
+again AS (SELECT g FROM spans GROUP BY g HAVING count(*) > 1),
+found AS (SELECT doc_id, i FROM spans JOIN again USING (g)),
+marked AS (
+  SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS fresh FROM found),
+runs AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked)
+SELECT doc_id, min(i) - 1 AS start, max(i) + 49 AS "end", max(i) - min(i) + 50 AS n_words, any_value(whole_copy) AS whole_copy
+FROM runs JOIN texts USING (doc_id) GROUP BY doc_id, run"""
+
+
+@query("op10_suffix_dedup", OP10_SQL)
+def _(table):
+    from shoal.llm.suffix_dedup import repeated_passages
+
+    return repeated_passages(table("documents")).drop("is_first")
