@@ -282,3 +282,13 @@ def _(table):
     from shoal.llm.suffix_dedup import repeated_passages
 
     return repeated_passages(table("documents")).drop("is_first")
+
+# The model of whole pieces with byte fallback; a parameter, never copied.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@query("op7_sentencepiece")
+def _(table):
+    from shoal.llm.unigram import encoding_digest
+
+    return encoding_digest(table("documents"), PIECE_MODEL, ["doc_id"])
