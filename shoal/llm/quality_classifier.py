@@ -8,9 +8,11 @@ dictionary has seen.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +28,7 @@ DICT_PIECES = 3000
 PIECE_BYTES = 2048
 DICT_BYTES = 112_640
 LEVEL = 3
+THRESHOLD = 0.3
 
 
 def pieces_of(text: str | None) -> list[bytes]:
@@ -121,7 +124,19 @@ def quality_scores(docs: DataFrame, model: QualityModel, keep: list[str], text_c
     return add_from_text(docs, text_col, keep, [StructField("score", DoubleType(), False)], make)
 
 
-def quality_query(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+def accepted(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score reaches ``threshold``."""
+
+    @F.pandas_udf("boolean")
+    def good(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        compressors = model.compressors()
+        for texts in batches:
+            yield pd.Series(probabilities(features_of(list(texts), compressors), model.weights) >= threshold)
+
+    return docs.where(good(F.col(f"`{text_col}`")))
+
+
+def quality_query(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` of every document."""
     scored = quality_scores(docs, fit_quality(docs, labels), ["doc_id"])
     return scored.select(
