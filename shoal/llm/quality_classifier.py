@@ -1,9 +1,9 @@
 """Quality by compression: zstandard dictionaries of good and of bad text.
 
 A text that is more like good text takes fewer bytes with the good dictionary than with the bad
-one. The difference, divided by the plain compressed size, together with how far
-the text compresses at all, becomes a probability by a logistic fit on labelled texts that neither
-dictionary has seen.
+one. The difference, divided by the smaller of both sizes, together with how far
+the text compresses at all and how long it is, becomes a probability by a logistic fit on labelled texts
+that neither dictionary has seen.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField
+from pyspark.sql.types import ArrayType, DoubleType, StructField
 
 from shoal.llm.common import add_from_text
 from shoal.llm.logistic import fit_logistic, probabilities
@@ -28,6 +28,8 @@ DICT_PIECES = 3000
 PIECE_BYTES = 2048
 DICT_BYTES = 112_640
 LEVEL = 3
+# Beyond this the difference says only that a passage is in one of the dictionaries.
+GAP_LIMIT = 0.1
 THRESHOLD = 0.3
 
 
@@ -48,29 +50,36 @@ class QualityModel:
         made = []
         for d in (self.good, self.bad, b""):
             held = zstandard.ZstdCompressionDict(d) if d else None
+            if held is not None:
+                held.precompute_compress(level=LEVEL)
             made.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_content_size=False, write_checksum=False))
         return made
 
 
+N_FEATURES = 8
+
+
 def features_of(texts: list[str | None], compressors: list) -> np.ndarray:
-    """Normalised size difference, plain ratio and its square; zeros for a text without bytes."""
-    out = np.zeros((len(texts), 3))
+    """Functions of the normalised difference, the plain ratio and the length; zeros for a text without bytes."""
+    out = np.zeros((len(texts), N_FEATURES))
     for row, text in enumerate(texts):
         pieces = pieces_of(text)
         if not pieces:
             continue
         good, bad, plain = (sum(len(c.compress(p)) for p in pieces) for c in compressors)
-        ratio = plain / sum(map(len, pieces))
-        out[row] = ((bad - good) / plain, min(ratio, 2.0), min(ratio, 2.0) ** 2)
+        size = sum(map(len, pieces))
+        ratio, length = min(plain / size, 2.0), np.log(size)
+        gap = min(max((bad - good) / min(bad, good), -GAP_LIMIT), GAP_LIMIT)
+        # The bends let very repetitive and hardly compressible texts stand out.
+        bends = (max(0.0, 0.35 - ratio), max(0.0, 0.2 - ratio), max(0.0, ratio - 0.7))
+        out[row] = (gap, gap * gap, gap * length, length, min(ratio, 1.0), *bends)
     return out
 
 
 def _dictionary(pieces: list[bytes]) -> bytes:
     """A trained dictionary, or the pieces themselves where there are too few to train on."""
-    if not pieces:
-        return b""
     try:
-        return zstandard.train_dictionary(DICT_BYTES, pieces).as_bytes()
+        return zstandard.train_dictionary(DICT_BYTES, pieces).as_bytes() if pieces else b""
     except zstandard.ZstdError:
         return b"".join(pieces)[:DICT_BYTES]
 
@@ -87,10 +96,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS)
     order = [F.xxhash64("doc_id", "at"), F.col("doc_id"), F.col("at")]
     few = [cut.where(F.col("label") == k).orderBy(*order).limit(DICT_PIECES) for k in (0, 1)]
     bad, good = ([bytes(r.piece) for r in x.select("piece").collect()] for x in few)
-    model = QualityModel(_dictionary(good), _dictionary(bad), np.zeros(4))
+    model = QualityModel(_dictionary(good), _dictionary(bad), np.zeros(N_FEATURES + 1))
     rows = _with_features(sample.where("fold = 1"), model).orderBy("doc_id").collect()
     sample.unpersist()
-    x = np.array([[r.f0, r.f1, r.f2] for r in rows]).reshape(-1, 3)
+    x = np.array([r.features for r in rows]).reshape(-1, N_FEATURES)
     y = np.array([r.label for r in rows], dtype=float)
     model.weights = fit_logistic(x, y)
     return model
@@ -99,9 +108,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS)
 def _with_features(sample: DataFrame, model: QualityModel) -> DataFrame:
     def make():
         compressors = model.compressors()
-        return lambda texts: list(features_of(texts, compressors).T) if texts else [[], [], []]
+        return lambda texts: [features_of(texts, compressors).tolist()]
 
-    fields = [StructField(f"f{i}", DoubleType(), False) for i in range(3)]
+    fields = [StructField("features", ArrayType(DoubleType(), False), False)]
     return add_from_text(sample, "text", ["doc_id", "label"], fields, make)
 
 
