@@ -15,11 +15,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from shoal.llm.common import WordHashes, ascii_words, shingle_set, signed, written
 from shoal.llm.components import connected_components
-from shoal.llm.partenum import signatures
+from shoal.llm.partenum import SKETCH_BITS, parity_sketch, signatures
 from shoal.session import cut_lineage
 
 SHINGLE = 5
@@ -43,34 +43,37 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _measure(keyed: DataFrame) -> DataFrame:
-    """Rows ``(doc_id, k1, k2, n)`` of documents, and ``(shingle, seen)`` of shingles frequent in a batch."""
+    """Rows ``(doc_id, k1, k2, n, sketch)`` of documents, and ``(shingle, seen)`` of shingles frequent in a batch."""
     own = keyed.schema
-    extra = [StructField(c, LongType()) for c in ("n", "shingle", "seen")]
+    extra = [StructField("n", LongType()), StructField("sketch", BinaryType())]
+    extra += [StructField(c, LongType()) for c in ("shingle", "seen")]
     schema = StructType([own["doc_id"], own["k1"], own["k2"], *extra])
     schema["k1"].nullable = schema["k2"].nullable = schema["doc_id"].nullable = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
-            keys, seen, sets, sizes = batch.column(1).to_pylist(), set(), [], []
+            keys, seen, sets, sizes, sketches = batch.column(1).to_pylist(), set(), [], [], []
             for key, text in zip(keys, batch.column(3).to_pylist()):
                 found = shingle_set(ascii_words(text), known, SHINGLE)
                 sizes.append(len(found))
+                sketches.append(parity_sketch(found))
                 if key not in seen:
                     seen.add(key)
                     sets.append(found)
             none = pa.nulls(batch.num_rows, pa.int64())
             names = schema.fieldNames()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(sizes, pa.int64()), none, none], names=names
-            )
+            own_columns = [batch.column(0), batch.column(1), batch.column(2)]
+            measures = [pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*own_columns, *measures, none, none], names=names)
             values, counts = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.empty(0, np.uint64),) * 2
             often = counts >= max(4, FREQUENT_SHARE * batch.num_rows)
             if often.any():
                 n = int(often.sum())
                 blank = [pa.nulls(n, batch.column(i).type) for i in range(3)]
                 found = [pa.array(signed(values[often])), pa.array(counts[often].astype(np.int64))]
-                yield pa.RecordBatch.from_arrays([*blank, pa.nulls(n, pa.int64()), *found], names=names)
+                blank += [pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*blank, *found], names=names)
 
     return keyed.mapInArrow(run, schema)
 
@@ -114,12 +117,31 @@ def _collisions(signed_rows: DataFrame) -> DataFrame:
     return seen.where((F.col("leader") < F.col("k1")) & (F.col("last") < F.col("k1"))).select("sig", "k1", "leader")
 
 
-def _sized(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """``(a, b)`` of ``k1`` as pairs of class ids whose sizes allow the similarity."""
-    narrow = classes.select("k1", "cid", "n")
-    both = pairs.join(narrow.toDF("a", "ca", "na"), "a").join(narrow.toDF("b", "cb", "nb"), "b")
-    fits = (F.col("na") * Q >= F.col("nb") * P) & (F.col("nb") * Q >= F.col("na") * P) & (F.col("ca") != F.col("cb"))
-    return both.where(fits).select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
+def _may_be_similar(na, nb, differing):
+    """Whether sets of these sizes that differ in at least so many elements can have the similarity."""
+    return (na * Q >= nb * P) & (nb * Q >= na * P) & (differing * (Q + P) <= (Q - P) * (na + nb))
+
+
+def _candidates(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """``(a, b)`` of ``k1`` as pairs of class ids whose sizes and sketches allow the similarity."""
+    narrow = classes.select("k1", "cid", "n", "sketch")
+    both = pairs.join(narrow.toDF("a", "ca", "na", "sa"), "a").join(narrow.toDF("b", "cb", "nb", "sb"), "b")
+    both = both.where(F.col("ca") != F.col("cb")).select("ca", "na", "sa", "cb", "nb", "sb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ca, na, cb, nb = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3, 4))
+            differing = np.bitwise_count(_bits(batch.column(2)) ^ _bits(batch.column(5))).sum(axis=1, dtype=np.int64)
+            fits = _may_be_similar(na, nb, differing)
+            low, high = np.minimum(ca, cb)[fits], np.maximum(ca, cb)[fits]
+            yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], names=["a", "b"])
+
+    return both.mapInArrow(run, "a long, b long").distinct()
+
+
+def _bits(column: pa.Array) -> np.ndarray:
+    """Sketches as rows of longs."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), SKETCH_BITS // 64)
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -157,14 +179,14 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _across(collisions: DataFrame, classes: DataFrame, components: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)`` of class ids in different components that share a signature and fit in size.
+    """Pairs ``(a, b)`` of class ids in different components that share a signature and may be similar.
 
     Leaders have been tested against all of their group. A group is cut into blocks, and each
     pair of blocks is one piece of work of bounded size.
     """
-    rows = collisions.select("sig", "k1").join(classes.select("k1", "cid", "n"), "k1")
-    rows = rows.join(components.select(F.col("node").alias("cid"), "component"), "cid", "left")
-    rows = rows.select("sig", "cid", "n", F.coalesce("component", "cid").alias("component"))
+    own = classes.select("k1", "cid").join(components.select(F.col("node").alias("cid"), "component"), "cid", "left")
+    own = own.select("k1", "cid", F.coalesce("component", "cid").alias("component"))
+    rows = collisions.select("sig", "k1").join(own, "k1").select("sig", "cid", "component")
     group = Window.partitionBy("sig")
     mixed = rows.select(
         "*", F.min("component").over(group).alias("low"), F.max("component").over(group).alias("high")
@@ -172,36 +194,45 @@ def _across(collisions: DataFrame, classes: DataFrame, components: DataFrame) ->
     ranked = mixed.select(
         "sig",
         "cid",
-        "n",
         "component",
         F.floor((F.row_number().over(group.orderBy("cid")) - 1) / BLOCK).alias("block"),
         F.floor((F.count("*").over(group) - 1) / BLOCK).alias("last"),
     )
-    other = F.explode(F.sequence(F.lit(0), F.col("last")))
-    dealt = ranked.withColumn("other", other)
+    ranked = ranked.join(classes.select("cid", "n", "sketch"), "cid")
+    dealt = ranked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
     dealt = dealt.select(
-        "sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cid", "n", "component"
+        "sig",
+        F.least("block", "other").alias("i"),
+        F.greatest("block", "other").alias("j"),
+        "block",
+        "cid",
+        "n",
+        "component",
+        "sketch",
     )
     dealt = dealt.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
 
-    def crossed(group: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        block, cid, n, component = (np.concatenate(x) for x in zip(*group))
+    def crossed(group: list[list]) -> tuple[np.ndarray, np.ndarray]:
+        block, cid, n, component, bits = (np.concatenate(x) for x in zip(*group))
         first, second = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
-        fits = (component[first][:, None] != component[second][None, :]) & (cid[first][:, None] < cid[second][None, :])
-        fits &= n[first][:, None] * Q >= n[second][None, :] * P
-        fits &= n[second][None, :] * Q >= n[first][:, None] * P
-        a, b = np.nonzero(fits)
-        return cid[first][a], cid[second][b]
+        left, right = [], []
+        for x in first:
+            near = second[(component[second] != component[x]) & (cid[second] > cid[x])]
+            differing = np.bitwise_count(bits[near] ^ bits[x]).sum(axis=1, dtype=np.int64)
+            fits = near[_may_be_similar(n[near], n[x], differing)]
+            left.append(np.full(len(fits), cid[x]))
+            right.append(cid[fits])
+        return np.concatenate(left), np.concatenate(right)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, at = [], None
 
         def out():
             a, b = crossed(held)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
+            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)] + [_bits(batch.column(7))]
             keys = np.stack(columns[:3], 1)
             cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
             for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)]):
@@ -227,13 +258,16 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     keyed = _keyed(docs, id_col, text_col)
     measured = cut_lineage(_measure(keyed))
-    rows = measured.where("seen IS NULL").select("doc_id", "k1", "k2", "n")
+    sketched = measured.where("seen IS NULL")
+    rows = sketched.select("doc_id", "k1", "k2", "n")
     frequent = spark.sparkContext.broadcast(_frequent(measured, rows.count()))
-    classes = rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("first_id"), F.min("n").alias("n"))
+    classes = sketched.groupBy("k1", "k2").agg(
+        F.min("doc_id").alias("first_id"), F.min("n").alias("n"), F.first("sketch").alias("sketch")
+    )
     classes = cut_lineage(classes.withColumn("cid", F.monotonically_increasing_id()))
 
     collisions = written(_collisions(_signed_rows(keyed, frequent)), "collisions")
-    pairs = cut_lineage(_sized(collisions.select(F.col("leader").alias("a"), F.col("k1").alias("b")).distinct(), classes))
+    pairs = cut_lineage(_candidates(collisions.select(F.col("leader").alias("a"), F.col("k1").alias("b")).distinct(), classes))
     # Texts of classes that share a signature, once each; copies meet in the partial aggregation.
     met = collisions.select("k1").unionByName(collisions.select(F.col("leader").alias("k1"))).distinct()
     ids = classes.select("k1", "k2", "cid").join(met, "k1", "left_semi")

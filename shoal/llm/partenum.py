@@ -12,6 +12,7 @@ bands meet in the scheme of the smaller one.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cache
 from itertools import combinations
 from math import comb
 
@@ -58,6 +59,17 @@ def scheme(band: int) -> Scheme:
     return Scheme(band, top * 3 // 8, 1, 0)
 
 
+@cache
+def _salts(s: Scheme, subset: int) -> np.ndarray:
+    return mixed(np.arange(s.n1, dtype=np.uint64) * np.uint64(64) + np.uint64(subset) + np.uint64(s.band << 40))
+
+
+@cache
+def _plan(band: int) -> tuple[Scheme, list[tuple[int, ...]]]:
+    s = scheme(band)
+    return s, s.subsets
+
+
 def differences(a: int, b: int, p: int = 4, q: int = 5) -> int:
     """The most elements in which sets of sizes ``a`` and ``b`` differ at a similarity of ``p / q``."""
     return (q - p) * (a + b) // (q + p)
@@ -78,30 +90,45 @@ def signatures(elements: np.ndarray, frequent: np.ndarray, p: int = 4, q: int =
     for band in range(least.bit_length() - 1, own + 1):
         # In its own band the set meets partners up to q / p of its size, in a lower one only smaller sets.
         partner = n * q // p if band == own else (1 << (band + 1)) - 1
-        out.append(_of_scheme(elements, rare, scheme(band), differences(n, partner, p, q)))
+        out.append(_of_scheme(elements, rare, band, differences(n, partner, p, q)))
     return np.concatenate(out)
 
 
-def _of_scheme(elements: np.ndarray, rare: np.ndarray, s: Scheme, d: int) -> np.ndarray:
-    spread = mixed(elements ^ np.uint64(0xA5A5A5A5 + s.band))
+def _of_scheme(elements: np.ndarray, rare: np.ndarray, band: int, d: int) -> np.ndarray:
+    s, subsets = _plan(band)
+    spread = mixed(elements ^ np.uint64(0xA5A5A5A5 + band))
     cells = s.n1 * s.n2
     cell = ((spread >> np.uint64(32)) % np.uint64(cells)).astype(np.int64)
-    value = mixed(elements + np.uint64(0x51ED270B))
-    order = np.argsort(cell, kind="stable")
-    ends = np.concatenate([[0], np.cumsum(np.bincount(cell, minlength=cells))])
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value[order], dtype=np.uint64)])
+    order = np.argsort(cell)
+    ends = np.searchsorted(cell[order], np.arange(cells + 1))
+    # The low bits of the spread are independent of the cell and serve as the summed hash.
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((spread * np.uint64(0xD6E8FEB86659FD93))[order], dtype=np.uint64)])
     sums = (total[ends[1:]] - total[ends[:-1]]).reshape(s.n1, s.n2)
-    few = np.bincount(cell, weights=rare, minlength=cells).reshape(s.n1, s.n2)
+    few = np.concatenate([[0], np.cumsum(rare[order])])
+    few = (few[ends[1:]] - few[ends[:-1]]).reshape(s.n1, s.n2)
     made, common = [], []
-    for k, subset in enumerate(s.subsets):
-        held = np.zeros(s.n1, np.uint64)
-        for c in subset:
-            held = mixed(held + sums[:, c])
-        salt = mixed(np.arange(s.n1, dtype=np.uint64) * np.uint64(64) + np.uint64(k) + np.uint64(s.band << 40))
-        made.append(mixed(held ^ salt))
+    for k, subset in enumerate(subsets):
+        held = sums[:, subset[0]]
+        for c in subset[1:]:
+            held = mixed(held) + sums[:, c]
+        made.append(mixed(held ^ _salts(s, k)))
         common.append(few[:, list(subset)].sum(axis=1) == 0)
     made, common = np.concatenate(made), np.concatenate(common)
     first = s.spoiled(d) + 1
     if first >= len(made):
         return made
     return made[np.lexsort((made, common))[:first]]
+
+
+# Bits of a parity sketch.
+SKETCH_BITS = 2048
+
+
+def parity_sketch(elements: np.ndarray) -> bytes:
+    """A bit per hash value: whether an odd number of elements has it.
+
+    An element in one set only changes one bit, so two sketches differ in at most as many bits as the sets do in
+    elements: a pair whose sketches differ in more cannot be similar.
+    """
+    odd = np.bincount((elements >> np.uint64(40)) % np.uint64(SKETCH_BITS), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
