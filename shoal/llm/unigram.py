@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import re
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -128,16 +129,32 @@ class DoubleArray:
         return len(self.base)
 
 
+class Chunk(NamedTuple):
+    """One chunk's ids, score, ids in decimal, number of byte pieces, and the bytes that the ids decode to."""
+
+    ids: list[int]
+    score: float
+    said: str
+    n_bytes: int
+    raw: bytes
+
+
 class UnigramModel:
-    """Encoder and decoder over a piece table; one per task, with the chunks it has met."""
+    """Encoder and decoder over a piece table; one per task, with the chunks it has met.
 
-    LIMIT = 500_000
+    Chunks are remembered in two generations: when the younger is full it becomes the older, whose chunks
+    come back when they are met again. So frequent ones stay and memory is bounded.
+    """
+
+    LIMIT = 250_000
 
     def __init__(self, table: PieceTable, trie: DoubleArray):
         self.table, self.trie = table, trie
         own = [s for s, ok in zip(table.scores, table.normal) if ok]
         self.unknown_score = (min(own) if own else 0.0) - UNKNOWN_PENALTY
-        self.met: dict[str, tuple[list[int], float]] = {}
+        self.first_byte = table.bytes_at[0]
+        self.met: dict[str, Chunk] = {}
+        self.older: dict[str, Chunk] = {}
 
     def chunk(self, text: str) -> tuple[list[int], float]:
         """Ids and total score of one chunk; of equal totals the first found at each end wins."""
@@ -175,35 +192,58 @@ class UnigramModel:
             at = start
         return out[::-1], best[n]
 
+    def _learn(self, rest: str) -> Chunk:
+        """The chunk of a marker and ``rest``, found among the older ones or searched."""
+        chunk = self.older.pop(rest, None)
+        if chunk is None:
+            ids, score = self.chunk(MARK + rest)
+            low = self.first_byte
+            n_bytes = sum(low <= i < low + 256 for i in ids)
+            chunk = Chunk(ids, score, ",".join(map(str, ids)), n_bytes, self.raw(ids))
+        if len(self.met) >= self.LIMIT:
+            self.older, self.met = self.met, {}
+        self.met[rest] = chunk
+        return chunk
+
+    def chunks(self, text: str) -> list[Chunk]:
+        """The chunks of a whole text, in order; none for an empty text."""
+        if not text:
+            return []
+        if "  " in text or text[0] == " " or MARK in text:
+            rests = [part[1:] for part in CHUNK.findall(MARK + text.replace(" ", MARK))]
+        else:
+            rests = text.split(" ")  # every chunk is one marker and what follows
+        found = list(map(self.met.get, rests))
+        if None in found:
+            for k, chunk in enumerate(found):
+                if chunk is None:
+                    found[k] = self.met.get(rests[k]) or self._learn(rests[k])
+        return found
+
     def encode(self, text: str) -> tuple[list[int], float]:
         """Ids and total log score of a whole text; an empty text has none."""
-        if not text:
-            return [], 0.0
-        ids: list[int] = []
-        score = 0.0
-        met = self.met
-        for part in CHUNK.findall(MARK + text.replace(" ", MARK)):
-            known = met.get(part)
-            if known is None:
-                if len(met) >= self.LIMIT:
-                    met.clear()
-                known = met[part] = self.chunk(part)
-            ids += known[0]
-            score += known[1]
-        return ids, score
+        found = self.chunks(text)
+        return [i for c in found for i in c.ids], sum([c.score for c in found])
 
-    def decode(self, ids: list[int]) -> str:
-        """The text of the pieces: byte pieces are joined to characters, markers become blanks, and the first is dropped."""
-        raw = bytearray()
-        first_byte = self.table.bytes_at[0]
+    def raw(self, ids: list[int]) -> bytes:
+        """The bytes of the pieces, byte pieces as their byte and markers as they are."""
+        low, out = self.first_byte, bytearray()
         for i in ids:
-            if 0 <= first_byte <= i < first_byte + 256 and self.table.bytes_at[i - first_byte] == i:
-                raw.append(i - first_byte)
+            if low <= i < low + 256:
+                out.append(i - low)
             elif self.table.normal[i]:
-                raw += self.table.pieces[i].encode("utf-8")
+                out += self.table.pieces[i].encode("utf-8")
+        return bytes(out)
+
+    @staticmethod
+    def text_of(raw: bytes) -> str:
+        """The text of the bytes: markers become blanks, and the first one is dropped."""
         text = raw.decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if text.startswith(" ") else text
 
+    def decode(self, ids: list[int]) -> str:
+        return self.text_of(self.raw(ids))
+
 
 FIELDS = [
     StructField("ids", ArrayType(IntegerType(), False), False),
@@ -214,8 +254,8 @@ FIELDS = [
 
 def _parts(path: str):
     table = read_pieces(path)
-    if min(table.bytes_at) < 0:
-        raise ValueError("the model has no byte pieces")
+    if table.bytes_at != list(range(table.bytes_at[0], table.bytes_at[0] + 256)) or table.bytes_at[0] < 0:
+        raise ValueError("the model has no byte pieces in a row")
     if any(MARK in p.lstrip(MARK) for p, ok in zip(table.pieces, table.normal) if ok):
         raise ValueError("the model has pieces that cross a whitespace marker")
     return table, DoubleArray(table)
@@ -264,19 +304,18 @@ def encoding_digest(docs: DataFrame, model_path: str, keep: list[str], text_col:
 
     def make():
         model = UnigramModel(*parts.value)
-        low = model.table.bytes_at[0]
 
         def run(texts):
             rows = []
             for t in texts:
-                ids, score = model.encode(t or "")
-                text = model.decode(ids)
+                found = model.chunks(t or "")
+                text = model.text_of(b"".join([c.raw for c in found]))
                 rows.append(
                     (
-                        len(ids),
-                        sum(low <= i < low + 256 for i in ids),
-                        hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(),
-                        score,
+                        sum([len(c.ids) for c in found]),
+                        sum([c.n_bytes for c in found]),
+                        hashlib.sha256(",".join([c.said for c in found]).encode()).hexdigest(),
+                        sum([c.score for c in found]),
                         hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest(),
                         text == (t or ""),
                     )
