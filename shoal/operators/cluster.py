@@ -323,14 +323,15 @@ def partition_clustering_edges(
     pilot_bound: int | None = None,
     **options,
 ) -> DataFrame:
-    """The partition step from long edges ``(partition_id, src, dst)`` to any node.
+    """The partition step from long edges ``(partition_id, src, dst [, weight])`` to any node.
 
-    Edges that do not end in a pilot are dropped, repeats count once, and the
-    node set comes from ``workers``, so isolated workers keep a row.
+    Edges that do not end in a pilot are dropped, repeats count once (with their
+    largest weight; 1 where the table has none), and the node set comes from
+    ``workers``, so isolated workers keep a row.
     """
     names = checked_broadcast(pilots.select(F.col("node").alias("dst")), pilot_bound)
-    kept = long_edges.join(names, "dst", "left_semi").select("partition_id", "src", "dst").distinct()
-    kept = kept.withColumn("weight", F.lit(1.0))
+    weight = F.max("weight") if "weight" in long_edges.columns else F.max(F.lit(1.0))
+    kept = long_edges.join(names, "dst", "left_semi").groupBy("partition_id", "src", "dst").agg(weight.alias("weight"))
     return partition_clustering(workers, kept, pilots, pilot_edges, pseudo, pilot_bound=pilot_bound, **options)
 
 

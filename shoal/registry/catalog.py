@@ -48,6 +48,13 @@ class Inputs:
             "planted", lambda: graph.symmetrize(fixtures.planted_edges(self.spark, self.sf_dir)).persist()
         )
 
+    @property
+    def blocks(self) -> DataFrame:
+        """The planted graph without edges across blocks: its communities are known exactly."""
+        return self._once(
+            "blocks", lambda: self.sym.where(F.col("src") % 3 == F.col("dst") % 3).persist()
+        )
+
     @property
     def nodes(self) -> DataFrame:
         return self._once("nodes", lambda: fixtures.nodes(self.spark, self.sf_dir))
@@ -91,7 +98,7 @@ def rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
 
 
 DEGREES = """
-deg AS (
+deg AS MATERIALIZED (
   SELECT node, coalesce(sum(weight), 0.0)::DOUBLE AS degree
   FROM nodes LEFT JOIN sym ON src = node GROUP BY node),
 ranked AS (SELECT node, degree, row_number() OVER (ORDER BY degree DESC, node) - 1 AS rank FROM deg)"""
@@ -99,7 +106,7 @@ ranked AS (SELECT node, degree, row_number() OVER (ORDER BY degree DESC, node) -
 PILOTS = (
     DEGREES
     + f""",
-pilots AS (
+pilots AS MATERIALIZED (
   SELECT r.node, r.degree, r.rank, n.label FROM ranked r JOIN nodes n USING (node)
   WHERE r.rank < (SELECT ceil(count(*) * {RATIO}) FROM nodes))"""
 )

@@ -8,6 +8,7 @@ from shoal.operators import cluster, graph, spectral, split
 from shoal.plans import end_to_end
 from shoal.registry.catalog import PILOTS, query, rounded
 from shoal.registry.fixtures import sql, sql_hash
+from shoal.session import checked_broadcast
 
 LOOPED = "looped AS (SELECT src, dst, weight FROM sym UNION ALL SELECT node, node, 10.0::DOUBLE FROM nodes)"
 LOOP_DEGREES = "d AS (SELECT src AS node, sum(weight) AS d FROM looped GROUP BY src), dm AS (SELECT avg(d) AS m FROM d)"
@@ -48,7 +49,7 @@ def _(x):
 WORKER_EDGES = """
 we AS (
   SELECT src, dst, weight FROM sym
-  WHERE src NOT IN (SELECT node FROM pilots) AND dst IN (SELECT node FROM pilots)),
+  WHERE NOT EXISTS (SELECT 1 FROM pilots z WHERE z.node = src) AND dst IN (SELECT node FROM pilots)),
 wo AS (SELECT src AS node, sum(weight) AS d FROM we GROUP BY src),
 wi AS (SELECT dst AS node, sum(weight) AS d FROM we GROUP BY dst)"""
 
@@ -76,7 +77,7 @@ def _(x):
     sql(
         """
 SELECT src, dst, round(weight / sqrt(
-    (wo.d + (SELECT sum(d) FROM wo) / (SELECT count(*) FROM nodes WHERE node NOT IN (SELECT node FROM pilots))) *
+    (wo.d + (SELECT sum(d) FROM wo) / (SELECT count(*) FROM nodes WHERE NOT EXISTS (SELECT 1 FROM pilots z WHERE z.node = node))) *
     (wi.d + (SELECT sum(d) FROM wi) / (SELECT count(*) FROM pilots))), 6) AS weight
 FROM we JOIN wo ON wo.node = src JOIN wi ON wi.node = dst""",
         PILOTS,
@@ -94,7 +95,7 @@ def _(x):
     sql(
         """
 SELECT n.node, round(coalesce(1 / sqrt(wo.d), 10000.0), 6) AS factor
-FROM nodes n LEFT JOIN wo USING (node) WHERE n.node NOT IN (SELECT node FROM pilots)""",
+FROM nodes n LEFT JOIN wo USING (node) WHERE NOT EXISTS (SELECT 1 FROM pilots z WHERE z.node = n.node)""",
         PILOTS,
         WORKER_EDGES,
     ),
@@ -254,13 +255,18 @@ def _(x):
 def _(x):
     parts, core = _pilot_parts(x)
     found = cluster.pilot_clustering(core, parts.pilots, 3)
-    others = graph.row_edges(x.sym, parts.pilots, exclude=True)
-    long_edges = split.inherit_partition(others.select("src", "dst"), parts.workers)
     return cluster.partition_clustering_edges(
-        long_edges, parts.workers, parts.pilots, core, found.pseudo, pilot_bound=parts.m
+        long_worker_edges(x.planted, parts, x.m, 4), parts.workers, parts.pilots, core, found.pseudo, pilot_bound=parts.m
     )
 
 
+def long_worker_edges(edges, parts, m, partitions):
+    """Edges ``(partition_id, src, dst, weight)`` of all workers, to any node; the partition is the hash of ``src``."""
+    pilots = checked_broadcast(parts.pilots.select(F.col("node").alias("src")), m)
+    others = edges.join(pilots, "src", "left_anti")
+    return others.select(split.partition_of("src", partitions).alias("partition_id"), "src", "dst", "weight")
+
+
 @query("pilot_distributed_clustering")
 def _(x):
     return end_to_end.pilot_distributed_clustering(

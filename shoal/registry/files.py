@@ -42,7 +42,7 @@ def _(x):
 WORKER_ROWS = """
 SELECT n.partition_id, n.node, e.dst AS pilot
 FROM nodes n LEFT JOIN (SELECT * FROM sym WHERE dst IN (SELECT node FROM pilots)) e ON e.src = n.node
-WHERE n.node NOT IN (SELECT node FROM pilots)"""
+WHERE NOT EXISTS (SELECT 1 FROM pilots z WHERE z.node = n.node)"""
 
 
 def _worker_rows(x):

@@ -56,13 +56,13 @@ def sql_hash(text: str) -> str:
 SQL_GRAPH = f"""
 lines AS (SELECT l_orderkey AS o, l_partkey AS p FROM lineitem),
 keyed AS (SELECT o, p, {sql_hash("o || '-' || p")} AS h FROM lines),
-anchors AS (
+anchors AS MATERIALIZED (
   SELECT o, h % {SLOTS} AS slot, struct_extract(min({{'h': h, 'p': p}}), 'p') AS a
   FROM keyed GROUP BY o, h % {SLOTS}),
-edges AS (
+edges AS MATERIALIZED (
   SELECT DISTINCT least(p, a) AS src, greatest(p, a) AS dst, 1.0::DOUBLE AS weight
   FROM lines JOIN anchors USING (o) WHERE p <> a),
-sym AS (SELECT src, dst, weight FROM edges UNION ALL SELECT dst, src, weight FROM edges)"""
+sym AS MATERIALIZED (SELECT src, dst, weight FROM edges UNION ALL SELECT dst, src, weight FROM edges)"""
 
 SQL_NODES = f"""
 nodes AS (

@@ -69,7 +69,7 @@ def _(x):
 
 @query(
     "worker_nodes",
-    sql("SELECT node, label FROM nodes WHERE node NOT IN (SELECT node FROM pilots)", PILOTS),
+    sql("SELECT node, label FROM nodes WHERE NOT EXISTS (SELECT 1 FROM pilots z WHERE z.node = node)", PILOTS),
 )
 def _(x):
     return split.worker_nodes(x.nodes.select("node", "label"), x.pilots, x.m)
@@ -98,7 +98,7 @@ def _(x):
 
 @query(
     "worker_pilot_edges",
-    sql(f"SELECT src, dst, weight FROM sym WHERE src NOT IN {IS_PILOT} AND dst IN {IS_PILOT}", PILOTS),
+    sql(f"SELECT src, dst, weight FROM sym WHERE NOT EXISTS (SELECT 1 FROM pilots z WHERE z.node = src) AND dst IN {IS_PILOT}", PILOTS),
 )
 def _(x):
     return split.worker_pilot_edges(x.sym, x.pilots, x.m)
@@ -126,7 +126,7 @@ def _(x):
 SELECT n.node, n.label, n.partition_id,
   coalesce(array_to_string(list_sort(list(p.rank) FILTER (p.rank IS NOT NULL)), ','), '') AS pilot_ranks
 FROM nodes n LEFT JOIN sym e ON e.src = n.node LEFT JOIN pilots p ON p.node = e.dst
-WHERE n.node NOT IN {IS_PILOT} GROUP BY n.node, n.label, n.partition_id""",
+WHERE NOT EXISTS (SELECT 1 FROM pilots z WHERE z.node = n.node) GROUP BY n.node, n.label, n.partition_id""",
         PILOTS,
     ),
 )
@@ -141,10 +141,10 @@ def _(x):
     sql(
         f"""
 SELECT 'pilot' AS kind, NULL::INT AS partition_id, rank AS a, node AS b, label::DOUBLE AS value FROM pilots
-UNION ALL SELECT 'worker', partition_id, node, NULL, label FROM nodes WHERE node NOT IN {IS_PILOT}
+UNION ALL SELECT 'worker', partition_id, node, NULL, label FROM nodes WHERE NOT EXISTS (SELECT 1 FROM pilots z WHERE z.node = node)
 UNION ALL SELECT 'pilot edge', NULL, src, dst, weight FROM sym WHERE src IN {IS_PILOT} AND dst IN {IS_PILOT}
 UNION ALL SELECT 'worker edge', partition_id, src, dst, weight FROM sym JOIN nodes ON node = src
-WHERE src NOT IN {IS_PILOT} AND dst IN {IS_PILOT}""",
+WHERE NOT EXISTS (SELECT 1 FROM pilots z WHERE z.node = src) AND dst IN {IS_PILOT}""",
         PILOTS,
     ),
 )
@@ -185,7 +185,7 @@ def _(x):
     return split.neighbours_in_set(x.sym, x.pilots)
 
 
-@query("neighbours_outside_set", sql(f"SELECT DISTINCT src, dst FROM sym WHERE dst NOT IN {IS_PILOT}", PILOTS))
+@query("neighbours_outside_set", sql(f"SELECT DISTINCT src, dst FROM sym WHERE NOT EXISTS (SELECT 1 FROM pilots z WHERE z.node = dst)", PILOTS))
 def _(x):
     return split.neighbours_outside_set(x.sym, x.pilots)
 
