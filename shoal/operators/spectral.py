@@ -178,13 +178,12 @@ def _embed_local(entries: DataFrame, k: int, method: str, clique: DataFrame | No
         extra[np.searchsorted(names, src[member])] = val[member]
         if member.any():
             m = kernels.Sparse(r, c, val[~member], (len(names), len(names)))
-            shift = float(np.bincount(r, np.abs(val[~member]), len(names)).max(initial=0) + extra @ extra)
 
             def once(x):
                 return m.times(x) + extra[:, None] * (extra @ x)
 
             if method == "evd":
-                _, vec = kernels.top_eigenvectors(lambda x: once(x) + shift * x, len(names), k)
+                _, vec = kernels.top_eigenvectors(once, len(names), k)
             else:
                 _, vec = kernels.top_eigenvectors(lambda x: once(once(x)), len(names), k)
         elif method == "evd":
@@ -268,11 +267,10 @@ def subspace_embed(
             scale = np.where(keep, 1 / np.sqrt(np.where(keep, lam, 1.0)), 0.0)
             out = {c: [pdf[c].iloc[0]] for c in by}
             out["mix"] = [(vec * scale).ravel()]
-            out["top"] = [np.sqrt(np.maximum(lam[:k], 0.0))]
             return pd.DataFrame(out)
 
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in products.select(*by).schema)
-        return products.groupBy(*by).applyInPandas(mix, f"{fields}, mix array<double>, top array<double>")
+        return products.groupBy(*by).applyInPandas(mix, f"{fields}, mix array<double>")
 
     def mixed(vectors: DataFrame, mixes: DataFrame, count: int) -> DataFrame:
         joined = vectors.join(checked_broadcast(mixes.select(*by, "mix"), matrices * width), by)
@@ -292,60 +290,63 @@ def subspace_embed(
     # one small row per matrix is broadcast: a join on ``by`` would put a matrix in one task
     matrices = block.select(*by).distinct().count()
 
-    if method == "evd":
-        # a diagonal shift by the largest absolute row sum makes the order algebraic
-        sums = table.groupBy(*by, "src").agg(F.sum(F.abs("weight")).alias("_a"))
-        largest = sums.groupBy(*by).agg(F.max("_a").alias("weight"))
-        if extra is not None:
-            square = extra.agg(F.sum(F.col("_s") * F.col("_s"))).scalar()
-            largest = largest.withColumn("weight", F.col("weight") + square)
-        loops = block.select(*by, F.col("node").alias("src"), F.col("node").alias("dst")).join(
-            checked_broadcast(largest, matrices), by
-        )
-        table = table.unionByName(loops).persist()
+    block = cut_lineage(mixed(block, mixing(small_products(block)), width))
+
+    def pair_sums(vectors: DataFrame, image: DataFrame) -> DataFrame:
+        """Per group the inner products of the block with its image, and of the image with itself."""
+        z = [f"z_{c}" for c in q]
+        both = vectors.join(image.select(*by, "node", *[F.col(a).alias(b) for a, b in zip(q, z)]), [*by, "node"])
+        cross = [F.sum(F.col(a) * F.col(b)) for a in q for b in z]
+        own = [F.sum(F.col(z[i]) * F.col(z[j])) for i in range(width) for j in range(i, width)]
+        return both.groupBy(*by).agg(F.array(*cross).alias("cross"), F.array(*own).alias("own"))
 
-    def step(vectors: DataFrame) -> DataFrame:
-        moved = product(vectors, "dst", "src")
-        # with a clique part the matrix is symmetric, so both products are the same
-        return product(moved, "src", "dst") if method == "svd" else moved
+    def ritz(sums: DataFrame) -> DataFrame:
+        """Per group the rotation to the k largest values, the relative residual, and whether they are the largest of all.
+
+        Values outside the block are no larger than the smallest absolute value in it.
+        """
+
+        def rotate(pdf: pd.DataFrame) -> pd.DataFrame:
+            cross = np.array(pdf["cross"].iloc[0]).reshape(width, width)
+            own = np.zeros((width, width))
+            own[np.triu_indices(width)] = pdf["own"].iloc[0]
+            own = own + np.triu(own, 1).T
+            lam, vec = np.linalg.eigh((cross + cross.T) / 2)
+            lam, vec = lam[::-1], vec[:, ::-1]
+            top = max(np.abs(lam).max(), 1e-300)
+            left = np.einsum("ij,ik,kj->j", vec, own, vec)[:k] - lam[:k] ** 2
+            out = {c: [pdf[c].iloc[0]] for c in by}
+            out["mix"] = [vec.ravel()]
+            out["residual"] = [float(np.sqrt(np.maximum(left, 0)).max() / top)]
+            out["certain"] = [bool(lam[k - 1] >= np.abs(lam).min() - tol * top)]
+            return pd.DataFrame(out)
+
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sums.select(*by).schema)
+        return sums.groupBy(*by).applyInPandas(rotate, f"{fields}, mix array<double>, residual double, certain boolean")
 
-    tops = None
     for _ in range(rounds):
-        moved = block
-        for _ in range(1 if method == "svd" else 2):
-            moved = step(moved)
-        image = cut_lineage(moved)
-        mixes = mixing(small_products(image)).persist()  # one row per matrix
-        block = mixed(image, mixes, width)
-        fresh = mixes.select(*by, "top")
-        if tops is not None:
-            gaps = F.aggregate(
-                F.zip_with("top", "_old", lambda a, b: F.abs(a - b) / F.greatest(F.abs(a), F.lit(1e-300))),
-                F.lit(0.0),
-                lambda acc, x: F.greatest(acc, x),
-            )
-            change = fresh.join(tops.withColumnRenamed("top", "_old"), by).agg(F.max(gaps)).first()[0]
-            # singular values settle with the square of the error of the vectors
-            if change is not None and change < tol * tol:
-                break
-        tops = fresh
+        # the operator is A'A of a matrix; of a symmetric one it is A itself, and its square drives the block
+        once = product(block, "dst", "src")
+        if method == "evd":
+            once = cut_lineage(once)
+            found = cut_lineage(ritz(pair_sums(block, once)))
+        image = cut_lineage(product(once, "src", "dst"))
+        if method == "svd":
+            found = cut_lineage(ritz(pair_sums(block, image)))
+        # one row per matrix; one number passes through the driver
+        if found.agg(F.max("residual")).first()[0] <= tol:
+            break
+        block = mixed(image, cut_lineage(mixing(small_products(image))), width)
+    else:
+        raise RuntimeError(f"the embedding did not converge in {rounds} rounds")
     if method == "svd":
         # left vectors: the image of the right block, diagonalised by its inner products
         left = cut_lineage(product(block, "dst", "src"))
         out = mixed(left, mixing(small_products(left)), k)
-        vec = F.array(*q[:k])
     else:
-        # Rayleigh quotient of the shifted matrix: its square root is not needed, only its order
-        left = cut_lineage(block)
-        image = step(left).select(*by, "node", *[F.col(c).alias(f"z_{c}") for c in q])
-        paired = left.join(image, [*by, "node"])
-        pairs = [F.sum(F.col(q[i]) * F.col(f"z_{q[j]}")) for i in range(width) for j in range(i, width)]
-        rayleigh = paired.groupBy(*by).agg(F.array(*pairs).alias("upper"), F.count("*").alias("size"))
-        rotate = cut_lineage(mixing(rayleigh))
-        out = mixed(left, rotate, k).join(
-            checked_broadcast(rotate.select(*by, "top"), matrices), by
-        )
-        # the block is orthonormal already, so the 1/sqrt(lambda) of the mix is undone
-        vec = F.array(*[F.col(q[i]) * F.col("top")[i] for i in range(k)])
+        if found.where(~F.col("certain")).take(1):
+            raise RuntimeError("larger eigenvalues may be outside the block; raise oversample")
+        out = mixed(block, found, k)
+    vec = F.array(*q[:k])
     table.unpersist()
     return out.select(*[c for c in by if c != "_g"], "node", vec.alias("vec"))

@@ -141,3 +141,33 @@ def test_krylov_kernel_on_a_large_side():
     assert same_space(u, vec[:, order])
     v, top = kernels.top_algebraic(r, c, lap[r, c], 1500, 3)
     assert np.allclose(top, np.sort(lam)[::-1][:3], atol=1e-5) and same_space(v, vec[:, np.argsort(-lam)[:3]], 1e-4)
+
+
+def hub_graph(n=240, hubs=1):
+    """Three blocks, and nodes that are linked to all others."""
+    rng = np.random.default_rng(1)
+    block = np.arange(n) % 3
+    upper = np.triu(rng.random((n, n)) < np.where(block[:, None] == block[None], 0.2, 0.01), 1)
+    a = (upper | upper.T).astype(float)
+    a[:hubs] = a[:, :hubs] = 1.0
+    a[np.arange(hubs), np.arange(hubs)] = 0.0
+    return a
+
+
+@pytest.mark.parametrize("hubs", [1, 2])
+@pytest.mark.parametrize("method", ["svd", "evd"])
+@pytest.mark.parametrize("limit", [10**7, 0])
+def test_hub_graphs_have_one_answer_on_both_routes(frame, hubs, method, limit):
+    a = hub_graph(hubs=hubs)
+    edges, names = table(frame, a)
+    true = np.linalg.eigh(a)[1][:, ::-1] if method == "evd" else np.linalg.svd(a)[0]
+    got = matrix(spectral.spectral_embed(edges, 3, method=method, local_entries=limit), names)
+    assert np.linalg.svd(np.linalg.qr(got)[0].T @ true[:, :3])[1].min() > 0.999
+
+
+def test_unconverged_iteration_raises(frame):
+    edges, _ = table(frame, hub_graph())
+    with pytest.raises(RuntimeError):
+        spectral.subspace_embed(edges, 3, "svd", rounds=1, tol=1e-9)
+    with pytest.raises(RuntimeError):
+        kernels.top_eigenvectors(lambda x: np.diag(np.arange(2000.0)) @ x, 2000, 3, depth=2, restarts=1)
