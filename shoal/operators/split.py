@@ -62,9 +62,12 @@ def random_pilots(nodes: DataFrame, m: int, seed: str = "pilot") -> DataFrame:
     return _first(drawn, m, F.col("_h").asc(), F.col("node").asc()).drop("_h")
 
 
-def pilot_count(nodes: DataFrame, ratio: float) -> DataFrame:
-    """One row ``(n, m)`` with ``m = ceil(ratio * n)``."""
-    return nodes.agg(F.count("*").alias("n")).select("n", F.ceil(F.col("n") * F.lit(float(ratio))).alias("m"))
+def pilot_count(nodes: DataFrame, ratio: float, rounding: str = "ceil") -> DataFrame:
+    """One row ``(n, m)`` with ``m = ratio * n``, rounded up (``ceil``) or down (``floor``)."""
+    if rounding not in ("ceil", "floor"):
+        raise ValueError(f"rounding must be 'ceil' or 'floor', got {rounding!r}")
+    whole = F.ceil if rounding == "ceil" else F.floor
+    return nodes.agg(F.count("*").alias("n")).select("n", whole(F.col("n") * F.lit(float(ratio))).alias("m"))
 
 
 def worker_nodes(nodes: DataFrame, pilots: DataFrame, pilot_bound: int | None = None) -> DataFrame:

@@ -77,7 +77,7 @@ def _(x):
     sql(
         """
 SELECT src, dst, round(weight / sqrt(
-    (wo.d + (SELECT sum(d) FROM wo) / (SELECT count(*) FROM nodes WHERE NOT EXISTS (SELECT 1 FROM pilots z WHERE z.node = node))) *
+    (wo.d + (SELECT sum(d) FROM wo) / (SELECT count(*) FROM nodes WHERE NOT EXISTS (SELECT 1 FROM pilots z WHERE z.node = nodes.node))) *
     (wi.d + (SELECT sum(d) FROM wi) / (SELECT count(*) FROM pilots))), 6) AS weight
 FROM we JOIN wo ON wo.node = src JOIN wi ON wi.node = dst""",
         PILOTS,

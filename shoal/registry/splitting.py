@@ -67,9 +67,14 @@ def _(x):
     return split.pilot_count(x.nodes, RATIO)
 
 
+@query("pilot_count_floor", sql("SELECT count(*) AS n, floor(count(*) * 0.15)::BIGINT AS m FROM nodes", graph=False))
+def _(x):
+    return split.pilot_count(x.nodes, 0.15, "floor")
+
+
 @query(
     "worker_nodes",
-    sql("SELECT node, label FROM nodes WHERE NOT EXISTS (SELECT 1 FROM pilots z WHERE z.node = node)", PILOTS),
+    sql("SELECT node, label FROM nodes WHERE NOT EXISTS (SELECT 1 FROM pilots z WHERE z.node = nodes.node)", PILOTS),
 )
 def _(x):
     return split.worker_nodes(x.nodes.select("node", "label"), x.pilots, x.m)
@@ -141,7 +146,7 @@ def _(x):
     sql(
         f"""
 SELECT 'pilot' AS kind, NULL::INT AS partition_id, rank AS a, node AS b, label::DOUBLE AS value FROM pilots
-UNION ALL SELECT 'worker', partition_id, node, NULL, label FROM nodes WHERE NOT EXISTS (SELECT 1 FROM pilots z WHERE z.node = node)
+UNION ALL SELECT 'worker', partition_id, node, NULL, label FROM nodes WHERE NOT EXISTS (SELECT 1 FROM pilots z WHERE z.node = nodes.node)
 UNION ALL SELECT 'pilot edge', NULL, src, dst, weight FROM sym WHERE src IN {IS_PILOT} AND dst IN {IS_PILOT}
 UNION ALL SELECT 'worker edge', partition_id, src, dst, weight FROM sym JOIN nodes ON node = src
 WHERE NOT EXISTS (SELECT 1 FROM pilots z WHERE z.node = src) AND dst IN {IS_PILOT}""",

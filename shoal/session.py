@@ -17,12 +17,15 @@ BROADCAST_ROWS = 1_000_000
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the session's spark.checkpoint.dir.
 
-    Only where the session names none (tests on one machine) a local folder is
-    made and set as the checkpoint folder.
+    Only where the session names none and runs on one machine (tests) a local folder is
+    made and set as the checkpoint folder. On a cluster executors would each write to
+    a disk of their own, so there a missing setting is an error.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="shoal-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)
