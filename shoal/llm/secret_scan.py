@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shoal.session import cut_lineage
+
 # ``reach`` is the largest end of the earlier spans.
 SPANS = "array<struct<start:int,rank:int,kind:string,end:int,reach:int>>"
 LEDGER_SCHEMA = f"blob string, rule_version string, spans {SPANS}"
@@ -168,6 +170,8 @@ def findings_by_path(
     found = new_findings(versions, ledger, rules, text_col)
     if ledger is not None:
         found = found.unionByName(known_findings(ledger, rules))
+    # Written, as a ledger is; the join then deals paths by itself and can split a blob that many share.
+    found = cut_lineage(found)
     paths = versions.select(F.col(f"`{id_col}`").alias("doc_id"), blob_of(F.col(f"`{text_col}`")).alias("blob"))
     return paths.join(found, "blob", "left").select("doc_id", "blob", "spans")
 
@@ -197,7 +201,7 @@ def mask_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str
     """
     text = F.col(f"row.`{text_col}`")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    found = new_findings(docs, None, rules, text_col)
+    found = cut_lineage(new_findings(docs, None, rules, text_col))
     joined = rows.withColumn("blob", blob_of(text)).join(found, "blob", "left")
     return joined.select(
         *[
