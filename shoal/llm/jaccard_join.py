@@ -3,8 +3,8 @@
 Equal texts are one class. Classes meet at shared signatures, where each is paired with the
 smallest class of its signature, its leader; pairs are verified on their whole texts. Most groups
 are then one component. Where a signature still joins several components, their members are
-paired across components (in blocks, so that no group is gathered) and verified too. So every
-link between different components has been tested, and no link is lost; pairs inside a component need no test.
+paired across components (in blocks, so that no group is gathered) and verified too, the likeliest pairs
+first, until all pairs between different components have been tested. So no link is lost; pairs inside a component need no test.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ FREQUENT_LEAST = 8
 REMEMBERED = 500_000
 # Members of a block when a signature's group is paired across components.
 BLOCK = 2048
+# Pairs between the same two components that a signature lists at first.
+MOST = 4
 # Pieces that the partners of one leader are dealt into.
 PIECES = 16
 
@@ -178,10 +180,11 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _across(collisions: DataFrame, classes: DataFrame, components: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)`` of class ids in different components that share a signature and may be similar.
+def _across(collisions: DataFrame, classes: DataFrame, components: DataFrame, most: int) -> DataFrame:
+    """``(a, b, left_out)``: pairs of class ids in different components that share a signature and may be similar.
 
-    Leaders have been tested against all of their group. A group is cut into blocks, and each
+    One link joins two components, so of the pairs between the same two only the ``most`` likeliest are listed, by
+    their sketches; ``left_out`` says that there are more. Leaders have been tested against all of their group. A group is cut into blocks, and each
     pair of blocks is one piece of work of bounded size.
     """
     own = classes.select("k1", "cid").join(components.select(F.col("node").alias("cid"), "component"), "cid", "left")
@@ -212,24 +215,37 @@ def _across(collisions: DataFrame, classes: DataFrame, components: DataFrame) ->
     )
     dealt = dealt.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
 
-    def crossed(group: list[list]) -> tuple[np.ndarray, np.ndarray]:
+    def crossed(group: list[list]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         block, cid, n, component, bits = (np.concatenate(x) for x in zip(*group))
         first, second = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
-        left, right = [], []
+        left, right, far = [], [], []
         for x in first:
             near = second[(component[second] != component[x]) & (cid[second] > cid[x])]
             differing = np.bitwise_count(bits[near] ^ bits[x]).sum(axis=1, dtype=np.int64)
-            fits = near[_may_be_similar(n[near], n[x], differing)]
-            left.append(np.full(len(fits), cid[x]))
-            right.append(cid[fits])
-        return np.concatenate(left), np.concatenate(right)
+            fits = _may_be_similar(n[near], n[x], differing)
+            left.append(np.full(int(fits.sum()), x))
+            right.append(near[fits])
+            far.append(differing[fits])
+        left, right, far = np.concatenate(left), np.concatenate(right), np.concatenate(far)
+        low = np.minimum(component[left], component[right])
+        high = np.maximum(component[left], component[right])
+        order = np.lexsort((cid[right], cid[left], far, high, low))
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])
+        starts = np.flatnonzero(fresh)
+        place = np.arange(len(order)) - starts[np.cumsum(fresh) - 1] if len(order) else order
+        taken = order[place < most]
+        left_out = np.full(len(taken), bool((place >= most).any()))
+        return cid[left[taken]], cid[right[taken]], left_out
+
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, at = [], None
 
         def out():
-            a, b = crossed(held)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            a, b, left_out = crossed(held)
+            columns = [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(left_out, pa.bool_())]
+            return pa.RecordBatch.from_arrays(columns, names=["a", "b", "left_out"])
 
         for batch in batches:
             columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)] + [_bits(batch.column(7))]
@@ -247,7 +263,8 @@ def _across(collisions: DataFrame, classes: DataFrame, components: DataFrame) ->
         if held:
             yield out()
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    found = dealt.mapInArrow(run, "a long, b long, left_out boolean")
+    return found.groupBy("a", "b").agg(F.max("left_out").alias("left_out"))
 
 
 def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -276,10 +293,18 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     links = cut_lineage(_verified(pairs, texts))
     components = cut_lineage(connected_components(links))
-    more = cut_lineage(_across(collisions, classes, components).join(pairs, ["a", "b"], "left_anti"))
-    if more.take(1):
-        links = links.unionByName(_verified(more, texts))
-        components = cut_lineage(connected_components(links))
+    most = MOST
+    while True:
+        across = cut_lineage(_across(collisions, classes, components, most))
+        fresh = cut_lineage(across.select("a", "b").join(pairs, ["a", "b"], "left_anti"))
+        new = cut_lineage(_verified(fresh, texts))
+        pairs = pairs.unionByName(fresh)
+        if new.take(1):
+            links = links.unionByName(new)
+            components = cut_lineage(connected_components(links))
+        if not across.where("left_out").take(1):
+            break  # every pair between different components has been tested
+        most *= 16
     firsts = components.join(classes.select(F.col("cid").alias("node"), "first_id"), "node")
     least = firsts.groupBy("component").agg(F.min("first_id").alias("least_id"))
     linked = components.join(least, "component").select(F.col("node").alias("cid"), "component", "least_id")

@@ -99,7 +99,9 @@ def _of_scheme(elements: np.ndarray, rare: np.ndarray, band: int, d: int) -> np.
     spread = mixed(elements ^ np.uint64(0xA5A5A5A5 + band))
     cells = s.n1 * s.n2
     cell = ((spread >> np.uint64(32)) % np.uint64(cells)).astype(np.int64)
-    order = np.argsort(cell)
+    if cells < 1 << 16:
+        cell = cell.astype(np.uint16)  # sorted by radix
+    order = np.argsort(cell, kind="stable")
     ends = np.searchsorted(cell[order], np.arange(cells + 1))
     # The low bits of the spread are independent of the cell and serve as the summed hash.
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((spread * np.uint64(0xD6E8FEB86659FD93))[order], dtype=np.uint64)])
@@ -113,11 +115,10 @@ def _of_scheme(elements: np.ndarray, rare: np.ndarray, band: int, d: int) -> np.
             held = mixed(held) + sums[:, c]
         made.append(mixed(held ^ _salts(s, k)))
         common.append(few[:, list(subset)].sum(axis=1) == 0)
-    made, common = np.concatenate(made), np.concatenate(common)
+    # A signature without a rare element has its highest bit set, so it comes last in the common order.
+    made = np.concatenate(made) >> np.uint64(1) | np.concatenate(common).astype(np.uint64) << np.uint64(63)
     first = s.spoiled(d) + 1
-    if first >= len(made):
-        return made
-    return made[np.lexsort((made, common))[:first]]
+    return made if first >= len(made) else np.partition(made, first - 1)[:first]
 
 
 # Bits of a parity sketch.

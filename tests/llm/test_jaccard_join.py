@@ -60,6 +60,7 @@ def test_small_blocks_and_all_shingles_frequent_change_nothing(docs, monkeypatch
     texts = corpus(2)
     ids = list(range(len(texts)))
     monkeypatch.setattr(j, "BLOCK", 3)
+    monkeypatch.setattr(j, "MOST", 1)
     monkeypatch.setattr(j, "FREQUENT_LEAST", 1)
     assert by_id(j.jaccard_components(docs(texts, ids)), "n_shingles", "component_id") == brute(texts, ids)
 
