@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import NamedTuple
 
@@ -119,7 +120,7 @@ class DoubleArray:
         end = int(np.flatnonzero(used)[-1]) + len(self.code) + 2
         if end > len(self.base):
             self._grow(end)
-        self.base, self.check, self.piece = (x[:end].tolist() for x in (self.base, self.check, self.piece))
+        self.base, self.check, self.piece = (x[:end].copy() for x in (self.base, self.check, self.piece))
 
     def _grow(self, least: int) -> int:
         more = max(least - len(self.base), len(self.base))
@@ -150,15 +151,23 @@ class UnigramModel:
 
     def __init__(self, table: PieceTable, trie: DoubleArray):
         self.table, self.trie = table, trie
+        self.arrays = tuple(x.tolist() for x in (trie.base, trie.check, trie.piece))
+        self.codes = np.zeros(0x110000, np.int32)
+        self.codes[[ord(c) for c in trie.code]] = list(trie.code.values())
+        self.scores = np.array(table.scores)
+        self.decimal = [str(i) for i in range(len(table.pieces))]
         own = [s for s, ok in zip(table.scores, table.normal) if ok]
         self.unknown_score = (min(own) if own else 0.0) - UNKNOWN_PENALTY
         self.first_byte = table.bytes_at[0]
+        self.bytes_of = [p.encode("utf-8") if ok else b"" for p, ok in zip(table.pieces, table.normal)]
+        for b, i in enumerate(table.bytes_at):
+            self.bytes_of[i] = bytes([b])
         self.met: dict[str, Chunk] = {}
         self.older: dict[str, Chunk] = {}
 
     def chunk(self, text: str) -> tuple[list[int], float]:
         """Ids and total score of one chunk; of equal totals the first found at each end wins."""
-        base, check, piece, scores = self.trie.base, self.trie.check, self.trie.piece, self.table.scores
+        (base, check, piece), scores = self.arrays, self.table.scores
         codes = [self.trie.code.get(c, 0) for c in text]
         n = len(codes)
         best = [0.0] + [-1e300] * n
@@ -181,59 +190,119 @@ class UnigramModel:
                         best[j + 1], back[j + 1] = total, (i, k)
             if not single and here + self.unknown_score > best[i + 1]:
                 best[i + 1], back[i + 1] = here + self.unknown_score, (i, -1)
+        return self._ids(text, [b[0] for b in back], [b[1] for b in back]), best[n]
+
+    def _ids(self, text: str, starts: list[int], pieces: list[int]) -> list[int]:
+        """The pieces of the best path, read from its end; what no piece covers becomes bytes."""
         out: list[int] = []
-        at = n
+        at = len(text)
         while at > 0:
-            start, k = back[at]
+            start, k = starts[at], pieces[at]
             if k >= 0:
                 out.append(k)
             else:
                 out += [self.table.bytes_at[b] for b in reversed(text[start:at].encode("utf-8", "surrogatepass"))]
             at = start
-        return out[::-1], best[n]
+        return out[::-1]
+
+    def search(self, texts: list[str]) -> list[tuple[list[int], float]]:
+        """``chunk`` of many texts of one length at once: every step of the search is one array operation."""
+        base, check, piece = self.trie.base, self.trie.check, self.trie.piece
+        n, size = len(texts[0]), len(texts)
+        joined = "".join(texts).encode("utf-32-le", "surrogatepass")
+        codes = self.codes[np.frombuffer(joined, np.uint32)].reshape(size, n)
+        best = np.full((size, n + 1), -1e300)
+        best[:, 0] = 0.0
+        starts, pieces = np.zeros((size, n + 1), np.int32), np.full((size, n + 1), -1, np.int32)
+
+        def offer(rows: np.ndarray, end: int, total: np.ndarray, start: int, k) -> None:
+            better = total > best[rows, end]
+            rows = rows[better]
+            best[rows, end], starts[rows, end] = total[better], start
+            pieces[rows, end] = k[better] if isinstance(k, np.ndarray) else k
 
-    def _learn(self, rest: str) -> Chunk:
-        """The chunk of a marker and ``rest``, found among the older ones or searched."""
-        chunk = self.older.pop(rest, None)
-        if chunk is None:
-            ids, score = self.chunk(MARK + rest)
-            low = self.first_byte
-            n_bytes = sum(low <= i < low + 256 for i in ids)
-            chunk = Chunk(ids, score, ",".join(map(str, ids)), n_bytes, self.raw(ids))
+        for i in range(n):
+            rows, state, alone = np.arange(size), np.zeros(size, np.int32), np.ones(size, bool)
+            for j in range(i, n):
+                c = codes[rows, j]
+                nxt = base[state] + c
+                on = (c > 0) & (check[nxt] == state)
+                rows, state = rows[on], nxt[on]
+                if not len(rows):
+                    break
+                k = piece[state]
+                ends = k >= 0
+                hit, k = rows[ends], k[ends]
+                if j == i:
+                    alone[hit] = False
+                offer(hit, j + 1, best[hit, i] + self.scores[k], i, k)
+            rows = np.flatnonzero(alone)
+            offer(rows, i + 1, best[rows, i] + self.unknown_score, i, -1)
+        ids = map(self._ids, texts, starts.tolist(), pieces.tolist())
+        return list(zip(ids, best[:, n].tolist()))
+
+    # Chunks of more characters are searched one by one.
+    LONG = 64
+
+    def learn(self, rests: set[str]) -> None:
+        """Search all chunks of a batch that have not been met."""
+        by_length: dict[int, list[str]] = {}
+        for rest in rests:
+            if rest in self.met:
+                continue
+            if rest in self.older or len(rest) > self.LONG:
+                self._learn(rest)
+            else:
+                by_length.setdefault(len(rest), []).append(rest)
+        for group in by_length.values():
+            for at in range(0, len(group), 20_000):
+                part = group[at : at + 20_000]
+                for rest, (ids, score) in zip(part, self.search([MARK + r for r in part])):
+                    self._keep(rest, self._chunk_of(ids, score))
+
+    def _chunk_of(self, ids: list[int], score: float) -> Chunk:
+        low = self.first_byte
+        n_bytes = sum([low <= i < low + 256 for i in ids])
+        return Chunk(ids, score, ",".join([self.decimal[i] for i in ids]), n_bytes, self.raw(ids))
+
+    def _keep(self, rest: str, chunk: Chunk) -> Chunk:
         if len(self.met) >= self.LIMIT:
             self.older, self.met = self.met, {}
         self.met[rest] = chunk
         return chunk
 
-    def chunks(self, text: str) -> list[Chunk]:
-        """The chunks of a whole text, in order; none for an empty text."""
+    def _learn(self, rest: str) -> Chunk:
+        """The chunk of a marker and ``rest``, found among the older ones or searched."""
+        chunk = self.older.pop(rest, None)
+        return self._keep(rest, chunk if chunk is not None else self._chunk_of(*self.chunk(MARK + rest)))
+
+    @staticmethod
+    def rests(text: str | None) -> list[str]:
+        """What follows the first marker in each chunk of a whole text; none for an empty text."""
         if not text:
             return []
         if "  " in text or text[0] == " " or MARK in text:
-            rests = [part[1:] for part in CHUNK.findall(MARK + text.replace(" ", MARK))]
-        else:
-            rests = text.split(" ")  # every chunk is one marker and what follows
-        found = list(map(self.met.get, rests))
-        if None in found:
-            for k, chunk in enumerate(found):
-                if chunk is None:
-                    found[k] = self.met.get(rests[k]) or self._learn(rests[k])
-        return found
+            return [part[1:] for part in CHUNK.findall(MARK + text.replace(" ", MARK))]
+        return text.split(" ")  # every chunk is one marker and what follows
+
+    def batch(self, texts: list[str | None]) -> Iterator[list[Chunk]]:
+        """The chunks of each whole text of a batch, in order."""
+        cut = [self.rests(t) for t in texts]
+        self.learn(set().union(*cut))
+        for rests in cut:
+            found = list(map(self.met.get, rests))
+            if None in found:
+                found = [self.met.get(r) or self._learn(r) for r in rests]
+            yield found
 
     def encode(self, text: str) -> tuple[list[int], float]:
         """Ids and total log score of a whole text; an empty text has none."""
-        found = self.chunks(text)
+        (found,) = self.batch([text])
         return [i for c in found for i in c.ids], sum([c.score for c in found])
 
     def raw(self, ids: list[int]) -> bytes:
         """The bytes of the pieces, byte pieces as their byte and markers as they are."""
-        low, out = self.first_byte, bytearray()
-        for i in ids:
-            if low <= i < low + 256:
-                out.append(i - low)
-            elif self.table.normal[i]:
-                out += self.table.pieces[i].encode("utf-8")
-        return bytes(out)
+        return b"".join([self.bytes_of[i] for i in ids])
 
     @staticmethod
     def text_of(raw: bytes) -> str:
@@ -276,8 +345,12 @@ def encoded(docs: DataFrame, model_path: str, keep: list[str], text_col: str = "
         model = UnigramModel(*parts.value)
 
         def run(texts):
-            found = [model.encode(t or "") for t in texts]
-            return [[f[0] for f in found], [f[1] for f in found], [model.decode(f[0]) for f in found]]
+            ids, scores, decoded = [], [], []
+            for found in model.batch(texts):
+                ids.append([i for c in found for i in c.ids])
+                scores.append(sum([c.score for c in found]))
+                decoded.append(model.text_of(b"".join([c.raw for c in found])))
+            return [ids, scores, decoded]
 
         return run
 
@@ -307,8 +380,7 @@ def encoding_digest(docs: DataFrame, model_path: str, keep: list[str], text_col:
 
         def run(texts):
             rows = []
-            for t in texts:
-                found = model.chunks(t or "")
+            for t, found in zip(texts, model.batch(texts)):
                 text = model.text_of(b"".join([c.raw for c in found]))
                 rows.append(
                     (

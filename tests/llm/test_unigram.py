@@ -54,3 +54,10 @@ def test_round_trip_in_spark(docs):
     rows = encoding_digest(docs(texts), PIECES, ["doc_id"]).collect()
     assert all(r.restored for r in rows) and {r.doc_id: r.n_tokens for r in rows} == {i: len(v[0]) for i, v in out.items()}
     assert encoded(docs([]), PIECES, ["doc_id"]).collect() == []
+
+
+def test_the_search_of_many_chunks_is_that_of_each(model):
+    words = ["", "a", "the", "x1$$$", "éß日", "𝔘", "ing", "cion", "▁", "qqq"]
+    for n in range(6):
+        chunks = sorted({"▁" + (a + b + c)[:n].ljust(n, "z") for a in words for b in words for c in words})
+        assert model.search(chunks) == [model.chunk(c) for c in chunks]
