@@ -6,6 +6,7 @@ from check_oracle import TABLES, compare
 from conftest import SMALL
 
 from __spark_entry__ import entry, oracle_sql, queries
+from shoal.registry import ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -16,7 +17,7 @@ def con():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_matches_sql(spark, con, name):
     assert compare(spark, con, name, SMALL).startswith("ok")
 
