@@ -93,5 +93,5 @@ def _(x):
 @query("write_result_json", sql("SELECT node, label, cluster FROM nodes", graph=False))
 def _(x):
     path = scratch_path(x.spark, "result")
-    sources.write_result_json(x.nodes.select("node", "label", "cluster"), path)
+    sources.write_result_json(x.nodes.select("node", "label", "cluster"), path, files=1)
     return sources.read_edges_json(x.spark, path, "node LONG, label INT, cluster INT")

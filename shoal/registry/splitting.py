@@ -8,6 +8,7 @@ from shoal.operators import split
 from shoal.registry.building import text
 from shoal.registry.catalog import DEGREES, PILOTS, RATIO, query
 from shoal.registry.fixtures import sql, sql_hash
+from shoal.session import checked_broadcast
 
 
 @query("out_degree", sql("SELECT src AS node, sum(weight) AS degree FROM sym GROUP BY src", node_table=False))
@@ -198,7 +199,7 @@ def _(x):
 @query("merge_results", sql("SELECT node, label, cluster FROM nodes"))
 def _(x):
     rows = x.nodes.select("node", "label", "cluster")
-    pilot = rows.join(F.broadcast(x.pilots), "node", "left_semi")
+    pilot = rows.join(checked_broadcast(x.pilots, x.m), "node", "left_semi")
     return split.merge_results(pilot, split.worker_nodes(rows, x.pilots, x.m))
 
 

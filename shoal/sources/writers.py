@@ -4,10 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from shoal.session import has_at_most
-
-SINGLE_FILE_ROWS = 1_000_000
-
 
 def write_edges_json(edges: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Long edge table as JSON lines, one file per task."""
@@ -24,9 +20,6 @@ def write_pilot_csv(result: DataFrame, path: str, mode: str = "errorifexists") -
     result.write.mode(mode).csv(path, header=True)
 
 
-def write_result_json(result: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Clustering result as JSON: one file while small, one file per task beyond."""
-    result = result.persist()  # counted, then written
-    out = result.coalesce(1) if has_at_most(result, SINGLE_FILE_ROWS) else result
-    out.write.mode(mode).json(path)
-    result.unpersist()
+def write_result_json(result: DataFrame, path: str, mode: str = "errorifexists", files: int | None = None) -> None:
+    """Clustering result as JSON lines: one file per task, or at most ``files`` files where the caller says so."""
+    (result if files is None else result.coalesce(files)).write.mode(mode).json(path)

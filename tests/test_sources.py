@@ -6,7 +6,6 @@ from conftest import rows_of
 
 from shoal import sources
 from shoal.operators import grouped
-from shoal.sources import writers
 
 
 def test_edge_list_and_wide_nodes(spark, tmp_path):
@@ -31,12 +30,11 @@ def test_wide_worker_file(spark, tmp_path):
     assert {tuple(r) for r in got.collect()} == {(0, 5, 8), (1, 6, 8), (1, 6, 3), (1, 7, None)}
 
 
-def test_result_is_one_file_while_small(spark, tmp_path, monkeypatch):
+def test_result_has_as_many_files_as_the_caller_says(spark, tmp_path):
     df = spark.range(100).repartition(4)
-    for limit, files in ((1000, 1), (10, 4)):
-        monkeypatch.setattr(writers, "SINGLE_FILE_ROWS", limit)
-        out = tmp_path / str(limit)
-        sources.write_result_json(df, str(out))
+    for asked, files in ((1, 1), (None, 4)):
+        out = tmp_path / str(asked)
+        sources.write_result_json(df, str(out), files=asked)
         parts = list(Path(out).glob("part-*.json"))
         assert len(parts) == files
         assert sorted(json.loads(line)["id"] for p in parts for line in p.read_text().splitlines()) == list(range(100))
