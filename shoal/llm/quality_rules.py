@@ -27,7 +27,7 @@ GROUP_ROWS = 200
 MEASURES = {
     "symbols": ("n_symbols", "word_chars", 40),
     "upper": ("n_upper", "word_chars", 250),
-    "repeats": ("n_repeat_words", "n_words", 250),
+    "repeats": ("n_repeat_words", "n_words", 450),
     "dup_lines": ("n_dup_lines", "n_lines", 600),
     "word_length": ("word_chars", "n_words", 6000),
 }
