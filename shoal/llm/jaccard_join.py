@@ -20,7 +20,7 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 from shoal.llm.common import WordHashes, ascii_words, shingle_set, signed, written
 from shoal.llm.components import connected_components
 from shoal.llm.partenum import SKETCH_BITS, parity_sketch, signatures
-from shoal.session import cut_lineage
+from shoal.session import checked_broadcast, cut_lineage
 
 SHINGLE = 5
 P, Q = 4, 5  # similarity of 0.8
@@ -152,12 +152,25 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return len(a) > 0 and len(b) > 0 and Q * shared >= P * (len(a) + len(b) - shared)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _texts_of(pairs: DataFrame, classes: DataFrame, keyed: DataFrame) -> DataFrame:
+    """``(cid, text)`` of the classes in ``pairs``, each once.
+
+    Their keys are counted and, while they are few, broadcast, so that only the texts that are needed leave their
+    place; beyond that the texts are joined on the key. Copies meet in the partial aggregation.
+    """
+    ids = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
+    ids = cut_lineage(classes.select("k1", "k2", "cid").join(ids, "cid", "left_semi"))
+    found = keyed.select("k1", "k2", "text").join(checked_broadcast(ids, ids.count()), ["k1", "k2"])
+    return written(found.select("cid", "text").dropDuplicates(["cid"]), "texts")
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, keyed: DataFrame) -> DataFrame:
     """The pairs ``(a, b)`` of class ids that are similar, tested on their whole texts.
 
     The partners of a class are dealt into pieces, each with a copy of the class's text, so a
     leader of very many classes is spread over tasks; a task holds one set and reads the others as a stream.
     """
+    texts = _texts_of(pairs, classes, keyed)
     dealt = pairs.withColumn("piece", F.pmod(F.xxhash64("b"), F.lit(PIECES)))
     partners = dealt.join(texts, F.col("b") == F.col("cid")).select("a", "piece", F.col("b").alias("b"), "text")
     own = dealt.select("a", "piece").distinct().join(texts, F.col("a") == F.col("cid"))
@@ -285,22 +298,15 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     collisions = written(_collisions(_signed_rows(keyed, frequent)), "collisions")
     pairs = cut_lineage(_candidates(collisions.select(F.col("leader").alias("a"), F.col("k1").alias("b")).distinct(), classes))
-    # Texts of classes that share a signature, once each; copies meet in the partial aggregation.
-    met = collisions.select("k1").unionByName(collisions.select(F.col("leader").alias("k1"))).distinct()
-    ids = classes.select("k1", "k2", "cid").join(met, "k1", "left_semi")
-    texts = keyed.select("k1", "k2", "text").dropDuplicates(["k1", "k2"]).join(ids, ["k1", "k2"])
-    texts = written(texts.select("cid", "text"), "texts")
-
-    links = cut_lineage(_verified(pairs, texts))
+    links = cut_lineage(_verified(pairs, classes, keyed))
     components = cut_lineage(connected_components(links))
     most = MOST
     while True:
         across = cut_lineage(_across(collisions, classes, components, most))
         fresh = cut_lineage(across.select("a", "b").join(pairs, ["a", "b"], "left_anti"))
-        new = cut_lineage(_verified(fresh, texts))
-        pairs = pairs.unionByName(fresh)
-        if new.take(1):
-            links = links.unionByName(new)
+        if fresh.take(1):
+            links = links.unionByName(cut_lineage(_verified(fresh, classes, keyed)))
+            pairs = pairs.unionByName(fresh)
             components = cut_lineage(connected_components(links))
         if not across.where("left_out").take(1):
             break  # every pair between different components has been tested
