@@ -11,6 +11,11 @@ import numpy as np
 DENSE_SIDE = 600  # up to this many columns the Gram matrix is held dense
 DENSE_RESCUE = 3_000  # and up to this many if the iteration does not settle soon
 CHUNK = 1 << 20  # entries multiplied at a time
+TOLERANCE = 1e-6  # of the residuals of an embedding
+PRIME = 2**31 - 1  # of the draws of k-means starts
+TRIES = 10  # k-means starts
+ROUNDS = 500  # of one k-means try
+SAME_COST = 1e-5  # tries whose costs differ by less are equally good
 
 
 class Sparse:
@@ -59,7 +64,7 @@ class Sparse:
         return out
 
 
-def top_eigenvectors(apply, size, k, seed=7, width=4, depth=8, restarts=60, tol=1e-6, dense=None):
+def top_eigenvectors(apply, size, k, seed=7, width=4, depth=8, restarts=60, tol=TOLERANCE, dense=None):
     """The k algebraically largest eigenpairs of a symmetric operator by restarted block Krylov.
 
     The iteration ends when the residuals are small, and raises if they stay large.
@@ -134,17 +139,35 @@ def unit_rows(x):
     return np.divide(x, norm, out=x.copy(), where=norm > 0)
 
 
-def kmeans(x, k, seed=7, tries=10, rounds=100):
-    """Lloyd's k-means with k-means++ starts; best of ``tries``, clusters in order of appearance."""
-    rng = np.random.default_rng(seed)
-    best = None
-    for _ in range(tries):
-        centres = x[[rng.integers(len(x))]]
+def draw(node, salt, mod=np.remainder):
+    """A number in (0, 1) from a node id and a salt, the same for numpy arrays and for columns with ``mod=pmod``."""
+    x = mod(mod(node, PRIME) + mod(salt * 69_621, PRIME), PRIME)
+    x = mod(x * x + 12_345, PRIME)
+    x = mod(x * 48_271 + salt, PRIME)
+    return (mod(x * x, PRIME) + 0.5) / PRIME
+
+
+def salt(seed, attempt, i):
+    """The salt of the i-th start of an attempt; ``attempt`` is a number or a column."""
+    return attempt * 1_009 + (seed * 100_003 + i) % 1_000_000
+
+
+def kmeans(x, nodes, k, seed=7, tries=TRIES, rounds=ROUNDS):
+    """Lloyd's k-means on the rows of ``nodes`` (ascending ids): best of ``tries``, clusters numbered by lowest node.
+
+    Starts are k-means++ picks by draws of the node ids: the point with the least ``-log(draw) / gap`` is one
+    with odds as its squared gap. A try ends when no label changes, and an empty cluster keeps its centre.
+    ``operators.cluster.kmeans_by`` takes the same steps.
+    """
+    done = []
+    for t in range(tries):
+        centres = x[[draw(nodes, salt(seed, t, 0)).argmin()]]
         while len(centres) < k:
             gap = ((x[:, None, :] - centres[None]) ** 2).sum(2).min(1)
-            total = gap.sum()
-            pick = rng.choice(len(x), p=gap / total) if total > 0 else rng.integers(len(x))
-            centres = np.vstack([centres, x[pick]])
+            race = np.full(len(x), np.inf)
+            far = gap > 0
+            race[far] = -np.log(draw(nodes[far], salt(seed, t, len(centres)))) / gap[far]
+            centres = np.vstack([centres, x[race.argmin()]])
         labels = None
         for _ in range(rounds):
             dist = ((x[:, None, :] - centres[None]) ** 2).sum(2)
@@ -155,8 +178,11 @@ def kmeans(x, k, seed=7, tries=10, rounds=100):
             for c in range(k):
                 if (labels == c).any():
                     centres[c] = x[labels == c].mean(0)
-        cost = dist.min(1).sum()
-        if best is None or cost < best[0] - 1e-12:
-            best = (cost, labels)
-    _, first, labels = np.unique(best[1], return_index=True, return_inverse=True)
+        else:
+            raise RuntimeError(f"k-means did not converge in {rounds} rounds")
+        done.append((dist.min(1).sum(), labels))
+    # the first of the tries that are equally good
+    limit = min(cost for cost, _ in done) * (1 + SAME_COST)
+    best = next(labels for cost, labels in done if cost <= limit)
+    _, first, labels = np.unique(best, return_index=True, return_inverse=True)
     return np.argsort(np.argsort(first))[labels]

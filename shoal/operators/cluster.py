@@ -109,44 +109,91 @@ def nearest_centre(
     return joined.withColumn("cluster", _nearest(F.col("vec"), F.col("_packed"))).drop("_packed", "vec")
 
 
-def kmeans_by(embedding: DataFrame, k: int, by: list[str], rounds: int = 50) -> DataFrame:
+def kmeans_by(
+    embedding: DataFrame, k: int, by: list[str], seed: int = 7, tries: int = kernels.TRIES, rounds: int = kernels.ROUNDS
+) -> DataFrame:
     """K-means inside every group of ``(by.., node, vec)``, by sums over all rows at once.
 
-    Starts are taken farthest-first from the lowest node id. Serves groups too
-    large for one task: a round is one pass with partial sums per group.
+    The steps of ``kernels.kmeans`` for groups too large for one task: the same starts, stop and cluster
+    numbers. A round is one pass with partial sums for all tries that still move.
     """
     points = embedding.persist()
-    pack = lambda df: cut_lineage(
-        df.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("cluster", "centre"))).alias("_c"))
-    )
-    centres = cut_lineage(
-        points.groupBy(*by).agg(F.min(F.struct("node", "vec")).alias("_m")).select(
-            *by, F.array(F.struct(F.lit(0).alias("cluster"), F.col("_m.vec").alias("centre"))).alias("_c")
-        )
-    )
-    groups = centres.count()
-    gap = F.array_min(F.transform("_c", lambda c: euclidean("vec", c["centre"])))
+    groups = points.select(*by).distinct().count()
+    bound = groups * tries
+
+    def gap(a, b) -> Column:
+        return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+
+    def nearest(centres: str) -> Column:
+        return F.array_min(F.transform(centres, lambda c, i: F.struct(gap("vec", c).alias("d"), i.alias("i"))))
+
+    def draw(i: int) -> Column:
+        node, attempt = F.col("node").cast("long"), F.col("_t").cast("long")
+        return kernels.draw(node, kernels.salt(seed, attempt, i), lambda x, m: F.pmod(x, F.lit(m)))
+
+    def tried(state: DataFrame) -> DataFrame:
+        return points.join(checked_broadcast(state, bound), by)
+
+    attempts = points.withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
+    first = attempts.groupBy(*by, "_t").agg(F.min(F.struct(draw(0).alias("d"), "node", "vec")).alias("_m"))
+    state = cut_lineage(first.select(*by, "_t", F.array("_m.vec").alias("_c")))
     for i in range(1, k):
-        far = points.join(checked_broadcast(centres, groups), by).groupBy(*by).agg(
-            F.max(F.struct(gap.alias("d"), (-F.col("node")).alias("n"), "vec", "_c")).alias("_f")
+        d = F.array_min(F.transform("_c", lambda c: gap("vec", c)))
+        race = F.when(d > 0, -F.log(draw(i)) / d).otherwise(F.lit(float("inf")))
+        picked = tried(state).groupBy(*by, "_t").agg(
+            F.min(F.struct(race.alias("d"), "node", "vec")).alias("_m"), F.first("_c").alias("_c")
         )
-        fresh = F.struct(F.lit(i).alias("cluster"), F.col("_f.vec").alias("centre"))
-        centres = cut_lineage(far.select(*by, F.concat("_f._c", F.array(fresh)).alias("_c")))
-    near = F.array_min(
-        F.transform("_c", lambda c: F.struct(euclidean("vec", c["centre"]).alias("d"), c["cluster"].alias("c")))
-    )["c"]
-    dims = len(points.select("vec").head()[0])
+        state = cut_lineage(picked.select(*by, "_t", F.concat("_c", F.array("_m.vec")).alias("_c")))
+    dims = len(points.select("vec").head()[0]) if groups else 0
+    # _o: the centres of the round before; a try is done when they give the same labels
+    state = state.select(
+        *by, "_t", "_c", F.lit(None).cast(state.schema["_c"].dataType).alias("_o"), F.lit(False).alias("_done"),
+        F.lit(None).cast("double").alias("_cost"),
+    )
     for _ in range(rounds):
-        sums = points.join(checked_broadcast(centres, groups), by).groupBy(*by, near.alias("cluster")).agg(
-            F.array(*[F.avg(F.col("vec")[i]) for i in range(dims)]).alias("centre")
+        seen = tried(state.where("not _done")).select(
+            *by, "_t", "vec", nearest("_c").alias("_n"), nearest("_o")["i"].alias("_was")
+        )
+        sums = seen.groupBy(*by, "_t", F.col("_n.i").alias("_i")).agg(
+            F.array(*[F.avg(F.col("vec")[i]) for i in range(dims)]).alias("centre"),
+            F.max(~F.col("_was").eqNullSafe(F.col("_n.i"))).alias("moved"),
+            F.sum("_n.d").alias("cost"),
+        )
+        fresh = sums.groupBy(*by, "_t").agg(
+            F.map_from_entries(F.collect_list(F.struct("_i", "centre"))).alias("_fresh"),
+            F.max("moved").alias("_moved"),
+            F.sum("cost").alias("_new"),
         )
-        fresh = pack(sums)
-        step = F.exists(F.zip_with("_c", "_o", lambda a, b: euclidean(a["centre"], b["centre"])), lambda d: ~(d < 1e-10))
-        moved = fresh.join(centres.withColumnRenamed("_c", "_o"), by).where(step).take(1)
-        centres = fresh
-        if not moved:
+        still = F.coalesce("_moved", F.lit(False))
+        # an empty cluster keeps its centre
+        step = F.transform("_c", lambda c, i: F.coalesce(F.try_element_at(F.col("_fresh"), i), c))
+        state = cut_lineage(
+            state.join(fresh, [*by, "_t"], "left").select(
+                *by,
+                "_t",
+                F.when(still, step).otherwise(F.col("_c")).alias("_c"),
+                F.col("_c").alias("_o"),
+                (~still).alias("_done"),
+                F.coalesce("_new", "_cost").alias("_cost"),
+            )
+        )
+        if not state.where("not _done").take(1):
             break
-    return points.join(checked_broadcast(centres, groups), by).select(*by, "node", near.alias("cluster"))
+    else:
+        raise RuntimeError(f"k-means did not converge in {rounds} rounds")
+    tries_of = state.groupBy(*by).agg(
+        F.sort_array(F.collect_list(F.struct("_t", "_cost", "_c"))).alias("_all"), F.min("_cost").alias("_least")
+    )
+    same = F.filter("_all", lambda x: x["_cost"] <= F.col("_least") * (1 + kernels.SAME_COST))
+    best = tries_of.select(*by, same[0]["_c"].alias("_c"))
+    found = cut_lineage(
+        points.join(checked_broadcast(best, groups), by).select(*by, "node", nearest("_c")["i"].alias("_i"))
+    )
+    points.unpersist()
+    lowest = found.groupBy(*by, "_i").agg(F.min("node").alias("_first"))
+    order = lowest.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_first", "_i")))["_i"].alias("_order"))
+    cluster = (F.array_position("_order", F.col("_i")) - 1).cast("int")
+    return found.join(checked_broadcast(order, groups), by).select(*by, "node", cluster.alias("cluster"))
 
 
 class PilotClusters(NamedTuple):
@@ -348,7 +395,8 @@ def local_spectral_clustering(
 
     ``edges`` is symmetric, ``nodes`` is ``(node, partition_id)``. A partition of
     fewer than ``k`` nodes has one cluster per node. Partitions of more than
-    ``group_rows`` entries take the joins-and-sums route. ``partitions`` says
+    ``group_rows`` entries take the joins-and-sums route, with the same tolerance of the embedding, the same
+    k-means and the same cluster numbers. ``partitions`` says
     that the partitions are those of ``assign_partitions``; edges then need no join.
     """
     loops = nodes.select(
@@ -356,8 +404,8 @@ def local_spectral_clustering(
     )
     inside = within_partition_subgraph(edges.where("src != dst").select("src", "dst", "weight"), nodes, partitions)
     entries = inside.unionByName(loops).persist()
-    sizes = entries.groupBy("partition_id").agg(F.count("*").alias("n"))
-    hot = sizes.where(F.col("n") > group_rows).select("partition_id").persist()
+    sizes = entries.groupBy("partition_id").agg(F.count("*").alias("n"), F.count_if(F.expr("src = dst")).alias("nodes"))
+    hot = sizes.where((F.col("n") > group_rows) & (F.col("nodes") > k)).select("partition_id").persist()
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
         names, row = np.unique(pdf["src"].to_numpy(), return_inverse=True)
@@ -368,7 +416,7 @@ def local_spectral_clustering(
         else:
             d = np.bincount(row, val, size)
             u, _ = kernels.left_singular(row, col, val / np.sqrt(d[row] * d[col]), (size, size), k)
-            labels = kernels.kmeans(u, k, seed)
+            labels = kernels.kmeans(u, names, k, seed)
         return pd.DataFrame({"partition_id": pdf["partition_id"].iloc[0], "node": names, "cluster": labels})
 
     schema = "partition_id int, node long, cluster int"
@@ -378,6 +426,6 @@ def local_spectral_clustering(
     small = rest.groupBy("partition_id").applyInPandas(cluster, schema)
     large = entries.join(hot, "partition_id", "left_semi")
     scaled = cut_lineage(laplacian_sym(large, by=["partition_id"]))
-    vectors = cut_lineage(spectral_embed(scaled, k, by=["partition_id"]))
-    return small.unionByName(kmeans_by(vectors, k, ["partition_id"]))
+    vectors = cut_lineage(spectral_embed(scaled, k, by=["partition_id"], tol=kernels.TOLERANCE, rounds=300))
+    return small.unionByName(kmeans_by(vectors, k, ["partition_id"], seed))
 
