@@ -44,7 +44,7 @@ def item_words(text: str | None) -> list[bytes]:
 class TestItems:
     """One block of test items as numbers: words of item ``k`` are ``words[starts[k]:starts[k + 1] - 1]``, then 0."""
 
-    ids: list[str]
+    ids: list[str | None]
     words: np.ndarray
     starts: np.ndarray
     vocabulary: dict[bytes, int]
@@ -55,7 +55,7 @@ class TestItems:
         return int(min(WINDOW, np.diff(self.starts).min() - 1))
 
 
-def test_block(items: list[tuple[str, list[bytes]]]) -> TestItems:
+def test_block(items: list[tuple[str | None, list[bytes]]]) -> TestItems:
     vocabulary: dict[bytes, int] = {}
     flat: list[int] = []
     starts = [0]
@@ -70,11 +70,12 @@ def read_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> list:
     """The items in blocks of at most ``block_words`` words (an item at least), each broadcast by itself.
 
     The items come to the driver one partition at a time. Items without words are left out; repeated
-    rows of an item are one item, different texts under one id are all searched.
+    rows of an item are one item, different texts under one id are all searched. Items whose id is null
+    are searched like the others.
     """
     sc = benchmark.sparkSession.sparkContext
     rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
-    rows = rows.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).distinct()
+    rows = rows.where(F.col("text").isNotNull()).distinct()
     blocks, held, size = [], [], 0
     for r in rows.orderBy("item_id", "text").toLocalIterator():
         words = item_words(r.text)
@@ -233,7 +234,7 @@ def search_shard(docs: list[list[bytes]], test: TestItems, matches: bool) -> tup
 FIELDS = [
     StructField("n_words", LongType(), False),
     StructField("n_hit", LongType(), False),
-    StructField("item_ids", ArrayType(StringType(), False), False),
+    StructField("item_ids", ArrayType(StringType()), False),
 ]
 MATCHES = StructField(
     "matches",
@@ -257,7 +258,8 @@ def contamination(
     """``keep``, ``n_words``, ``n_hit`` and ``item_ids`` of every row of ``docs``.
 
     A word is hit inside any occurrence of a window: ten consecutive words of an item, or all words of
-    a shorter one. ``item_ids`` are the items with occurring windows, sorted. With ``matches``
+    a shorter one. ``item_ids`` are the items with occurring windows, sorted; all items whose id is null
+    count as one, a null at the end. With ``matches``
     also the longest verbatim match of every test suffix in each shard, at the document that has it, with
     both word positions.
 
@@ -279,7 +281,7 @@ def contamination(
                     found = [search_shard(docs_of, b.value, matches) + (b.value.ids,) for b in blocks]
                     for d, words in enumerate(docs_of):
                         hit = np.logical_or.reduce([f[0][d] for f in found]) if found else np.zeros(0, bool)
-                        ids = sorted({f[3][k] for f in found for k in f[1][d]})
+                        ids = sorted({f[3][k] for f in found for k in f[1][d]}, key=lambda i: (i is None, i or ""))
                         row = [len(words), int(hit.sum()), ids]
                         if matches:
                             names = ("item_id", "doc_start", "item_start", "n_words")

@@ -64,6 +64,16 @@ def test_removal_keeps_clean_rows_and_columns(llm, docs):
     assert {r.doc_id for r in out.collect()} == {i for i, t in enumerate(texts) if not brute(t, ITEMS)[1]}
 
 
+def test_items_without_an_id_hit_too(llm, docs):
+    items = [(None, "one two three"), (None, "four five"), ("8", "four five")]
+    texts = ["x One two three y", "four five, one two three", "four", None]
+    table = docs(texts)
+    got = by_id(d.contamination(table, bench(llm, items), ["doc_id"]), "n_hit", "item_ids")
+    # As OP9_SQL counts them: all null ids are one item.
+    assert got == {0: (3, [None]), 1: (5, ["8", None]), 2: (0, []), 3: (0, [])}
+    assert {r.doc_id for r in d.decontaminated(table, bench(llm, items)).collect()} == {2, 3}
+
+
 def test_empty_tables(llm, docs):
     assert d.contamination(docs([]), bench(llm), ["doc_id"]).collect() == []
     rows = d.contamination(docs(["a b", None]), bench(llm, []), ["doc_id"]).collect()
