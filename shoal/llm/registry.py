@@ -302,3 +302,48 @@ def _(table):
     said = "</s>[INST] ok [/INST]"
     extra = turns.sparkSession.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
     return read_back(format_conversations(turns.unionByName(extra), PIECE_MODEL))
+
+
+def _op13_sql() -> str:
+    word = r"[^\x20\x09-\x0D]+"
+    return f"""
+WITH texts AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '{word}') AS w FROM documents),
+failed AS (
+  SELECT doc_id, part, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w),
+    100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t),
+    regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)] AS f FROM texts),
+said AS (
+  SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS bad
+  FROM labels GROUP BY doc_id),
+sets AS MATERIALIZED (
+  SELECT part, f, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (bad) AS bad
+  FROM failed LEFT JOIN said USING (doc_id) GROUP BY part, f),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+orders AS (
+  SELECT a.l || b.l || c.l || d.l || e.l AS filter_order
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+steps AS (SELECT filter_order, step FROM orders, (SELECT unnest(range(1, 6))::INTEGER AS step)),
+seen AS (
+  SELECT part, filter_order, step, n, good, bad, f[ascii(filter_order[step]) - 64] AS own,
+    len(list_filter(range(1, step), lambda i: f[ascii(filter_order[i]) - 64])) > 0 AS gone, len(list_filter(f, lambda x: x)) AS fails
+  FROM sets, steps),
+counted AS (
+  SELECT part, filter_order, step,
+    sum(CASE WHEN NOT own AND NOT gone THEN n ELSE 0 END)::BIGINT AS kept,
+    sum(CASE WHEN own AND NOT gone THEN n ELSE 0 END)::BIGINT AS removed,
+    sum(CASE WHEN own AND gone THEN n ELSE 0 END)::BIGINT AS redundant,
+    sum(CASE WHEN own AND fails = 1 THEN n ELSE 0 END)::BIGINT AS unique_fails,
+    sum(CASE WHEN own AND NOT gone THEN good ELSE 0 END)::BIGINT AS good_lost,
+    sum(CASE WHEN own AND NOT gone THEN bad ELSE 0 END)::BIGINT AS toxic_lost
+  FROM seen GROUP BY part, filter_order, step)
+SELECT *, (sum(removed) OVER (PARTITION BY part, filter_order[step]))::BIGINT AS shapley FROM counted"""
+
+
+@query("op13_filter_audit", _op13_sql())
+def _(table):
+    from shoal.llm.filter_audit import filter_audit
+
+    return filter_audit(table("documents"), table("labels"))
