@@ -347,3 +347,50 @@ def _(table):
     from shoal.llm.filter_audit import filter_audit
 
     return filter_audit(table("documents"), table("labels"))
+
+
+OP12_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+words AS MATERIALIZED (
+  SELECT r, lang, source, t, count(*) AS n FROM (SELECT r, lang, source, unnest(w) AS t FROM docs) GROUP BY r, lang, source, t),
+kept AS MATERIALIZED (SELECT lang, t FROM words GROUP BY lang, t HAVING count(*) >= 10),
+sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+counts AS MATERIALIZED (SELECT lang, source, t, sum(n) AS c FROM words JOIN kept USING (lang, t) GROUP BY lang, source, t),
+own AS (SELECT lang, source, sum(c) AS total FROM counts GROUP BY lang, source),
+whole AS (
+  SELECT lang, t, sum(c) AS c, sum(sum(c)) OVER (PARTITION BY lang) AS total FROM counts GROUP BY lang, t),
+shares AS MATERIALIZED (
+  SELECT g.lang, g.source, k.t, coalesce(c.c, 0) AS c,
+    1 + (1000000000::HUGEINT * (coalesce(c.c, 0) + 2) // (coalesce(o.total, 0) + 2 * v)) AS p
+  FROM groups g JOIN kept k USING (lang) JOIN sizes USING (lang)
+  LEFT JOIN own o ON o.lang = g.lang AND o.source = g.source
+  LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.t = k.t),
+compared AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN compared c ON c.lang = a.lang AND c.source = a.source AND c.item = b.source),
+likelier AS (
+  SELECT s.lang, s.source, s.t AS item, (p - q) * (p - q) // (p + q) AS value
+  FROM shares s JOIN (
+    SELECT lang, t, 1 + (1000000000::HUGEINT * (c + 2) // (total + 2 * v)) AS q FROM whole JOIN sizes USING (lang)) w
+    ON w.lang = s.lang AND w.t = s.t WHERE s.c > 0 AND p > q),
+ranked AS (
+  SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+  UNION ALL
+  SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank
+  FROM likelier QUALIFY rank <= 10)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked"""
+
+
+@query("op12_source_divergence", OP12_SQL)
+def _(table):
+    from shoal.llm.divergence import source_divergence
+
+    return source_divergence(table("documents"))
