@@ -394,3 +394,22 @@ def _(table):
     from shoal.llm.divergence import source_divergence
 
     return source_divergence(table("documents"))
+
+
+OP11_SQL = r"""
+WITH bodies AS (
+  SELECT page_id, url, string_split_regex(
+    regexp_extract(coalesce(html, ''), '<article[^>]*>(.*?)</article>', 1, 's'), '</?(?:p|h1)[^>]*>') AS parts FROM pages),
+blocks AS (
+  SELECT page_id, url, list_transform(parts, lambda x: trim(regexp_replace(
+    replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(x, '<br[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g'),
+      '&amp;?', '&', 'g'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '\s+', ' ', 'g'))) AS b FROM bodies),
+texts AS (SELECT page_id, url, array_to_string(list_filter(b, lambda x: x <> ''), chr(10) || chr(10)) AS text FROM blocks)
+SELECT page_id, url, text, length(text) AS n_chars FROM texts"""
+
+
+@query("op11_html_extraction", OP11_SQL)
+def _(table):
+    from shoal.llm.boilerplate import main_text
+
+    return main_text(table("pages"))
