@@ -10,6 +10,7 @@ from itertools import permutations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField
 
 from shoal.llm.common import text_key, written
 from shoal.llm.term_matrix import row_measures, term_matrix
@@ -26,6 +27,16 @@ def _bits(letters: str) -> int:
 STEPS = [(o, k + 1, _bits(o[k]), _bits(o[:k])) for o in ORDERS for k in range(len(FILTERS))]
 
 
+_UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_MARKS = b"#$%&*|"
+
+
+def _shape(text: str, data: bytes) -> tuple[bool, bool]:
+    """Whether the text fails C and D."""
+    upper = len(data) - len(data.translate(None, _UPPER))
+    return 100 * upper > 2 * len(text), len(data.translate(None, _MARKS)) < len(data)
+
+
 def failures(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """``(doc_id, part, fails)`` of every row of ``docs``; ``fails`` has a bit for each of the filters A to E.
 
@@ -38,21 +49,19 @@ def failures(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     partial minima; the minimum of a text is joined back by 128 bits of it. Other columns are not read.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    wide = F.length(text)
-    facts = docs.select(
+    keyed = docs.select(
         F.col(f"`{id_col}`").alias("doc_id"),
         F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit("")).alias("part"),
         text_key(text).alias("key"),
-        (100 * (wide - F.length(F.regexp_replace(text, "[A-Z]", ""))) > 2 * wide).alias("c"),
-        text.rlike("[#$%&*|]").alias("d"),
         text.alias("text"),
     )
-    matrix, _ = term_matrix(facts, ["doc_id", "part", "key", "c", "d"])
+    fields = [StructField("c", BooleanType(), False), StructField("d", BooleanType(), False)]
+    matrix, _ = term_matrix(keyed, ["doc_id", "part", "key"], fields=fields, facts=_shape)
     rows = written(row_measures(matrix), "term-rows")
     rows = rows.select("doc_id", "part", "c", "d", "n_words", "n_distinct", "key.k1", "key.k2")
-    # Only texts that several rows have can fail E.
+    # Only texts that several rows have can fail E. Written, so that the join can split the rows of a hot text.
     least = rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    least = least.where(F.col("least") < F.col("most")).select("k1", "k2", "least")
+    least = written(least.where(F.col("least") < F.col("most")).select("k1", "k2", "least"), "copies")
     rows = rows.join(least, ["k1", "k2"], "left")
     conditions = [
         F.col("n_words") < 200,

@@ -5,7 +5,7 @@ import pytest
 from llm_support import docs, llm  # noqa: F401
 
 from shoal.llm.filter_audit import failures, filter_audit
-from shoal.llm.term_matrix import row_measures, term_matrix
+from shoal.llm.term_matrix import csr, row_measures, term_matrix
 
 LABELS = "doc_id long, quality int, toxic int"
 
@@ -77,17 +77,21 @@ def test_every_order_and_step(llm):
     assert {(r.part, r.filter_order, r.step): [r[n] for n in names] for r in got} == want
 
 
-@pytest.mark.parametrize("entries, terms", [(1, 1), (40, 1000), (10_000, 25)])
-def test_matrix_in_small_shards(docs, entries, terms):
+@pytest.mark.parametrize("entries, terms, part", [(1, 1, 3), (40, 1000, 1000), (10_000, 25, 17)])
+def test_matrix_in_small_shards(docs, entries, terms, part):
     texts = corpus()[:20]
-    matrix, dictionary = term_matrix(docs(texts), ["doc_id"], entries=entries, terms=terms)
-    word = {r.column: bytes(r.word) for r in dictionary.collect()}
+    matrix, words = term_matrix(docs(texts), ["doc_id"], entries=entries, terms=terms, part_terms=part)
+    word = {}
+    for r in words.collect():
+        for w, c in zip(bytes(r.words).split(), np.frombuffer(r.columns, np.int64).tolist()):
+            assert word.setdefault(c, w) == w
     assert sorted(word) == list(range(len(word))) and len(set(word.values())) == len(word)
     seen = {}
     for s in matrix.collect():
+        indptr, columns, counts = csr(s.indptr, s.columns, s.counts)
         for i, row in enumerate(s["rows"]):
-            a, b = s.indptr[i], s.indptr[i + 1]
-            seen[row.doc_id] = {word[c]: n for c, n in zip(s.columns[a:b], s.counts[a:b])}
+            a, b = indptr[i], indptr[i + 1]
+            seen[row.doc_id] = {word[c]: n for c, n in zip(columns[a:b].tolist(), counts[a:b].tolist())}
     want = {}
     for k, t in enumerate(texts):
         want[k] = {}
