@@ -6,10 +6,15 @@ several matrices in one table (one per partition).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from shoal.functions import kernels
 from shoal.functions.columns import euclidean, unit_vector
@@ -19,6 +24,11 @@ from shoal.session import checked_broadcast, cut_lineage, has_at_most
 # A matrix with at most this many entries is factored inside one task.
 LOCAL_ENTRIES = 1_000_000
 
+# Blocks that span the space of a round of the distributed iteration.
+DEPTH = 3
+# Groups whose sums a task holds before it hands them on.
+HELD_GROUPS = 2_000
+
 # Factor of a row without any entry. It touches no entry, so it never shows in a result.
 EMPTY_ROW_FACTOR = 10_000.0
 
@@ -201,40 +211,58 @@ def subspace_embed(
     k: int,
     method: str = "svd",
     by: list[str] | None = None,
-    rounds: int = 60,
+    rounds: int = 100,
     oversample: int = 6,
-    tol: float = 1e-3,
+    tol: float = kernels.TOLERANCE,
     clique: DataFrame | None = None,
+    shared: DataFrame | None = None,
+    factors: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
-    """Embedding by subspace iteration with joins and sums; any size, any group skew.
+    """Embedding by restarted block Krylov iteration with joins and sums; any size, any group skew.
+
+    The operator is A itself ('evd') or A'A ('svd'). A round spans the space of a block of ``k + oversample``
+    orthonormal vectors X and its next ``DEPTH - 1`` images, takes from it the vectors of the largest (signed) values and goes on with
+    those; their first image is known by then, so a round costs ``DEPTH - 1`` products. The space holds both ends of the
+    spectrum, so large negative values neither hide the wanted ones nor have to be damped. It ends when the residuals
+    of all k vectors are at most ``tol`` of the largest value, and raises if they stay larger.
+
+    ``shared`` are entries ``(src, dst, weight)`` that every group has besides its own; they are kept once, and only the vectors
+    are a row per group. ``factors`` are tables ``(by.., node, factor)`` that scale the rows and the columns of each
+    group's matrix and name its columns; where they are given, entries are unscaled ('svd' only).
 
-    One round multiplies a block of ``k + oversample`` vectors, held as columns of
-    a ``(by.., node, q0..)`` table, a few times by the matrix (for 'svd' by its
-    transpose too) and makes it orthonormal again. No matrix, group or block
-    passes through the driver: it sees one number per round. A round is one job
-    that ends in a checkpoint, so the lineage stays short.
+    Vectors are columns of a ``(by.., node, ..)`` table; edges and vectors never pass through the driver. It sees one
+    matrix of inner products (``(DEPTH + 1) * width`` columns) per group and round.
     """
     by = by or ["_g"]
     if by == ["_g"]:
         entries = entries.withColumn("_g", F.lit(0))
     if clique is not None and by != ["_g"]:
         raise ValueError("a clique part is supported for a single matrix")
+    if (shared is None) != (factors is None) or (shared is not None and method != "svd"):
+        raise ValueError("shared entries need factors, and 'svd'")
     width = k + oversample
     q = [f"q{i}" for i in range(width)]
     table = entries.select(*by, "src", "dst", "weight").persist()
     extra = None if clique is None else clique.select(F.lit(0).alias("_g"), "node", F.col("weight").alias("_s"))
 
+    def scaled(vectors: DataFrame, end: str) -> DataFrame:
+        joined = vectors.join(factors[end == "dst"], [*by, "node"])
+        return joined.select(*by, "node", *[(F.col(c) * F.col("factor")).alias(c) for c in q])
+
     def product(vectors: DataFrame, end: str, to: str) -> DataFrame:
         """Sum of weight * vector over the other end of every entry."""
         if extra is not None:
             vectors = cut_lineage(vectors)  # read twice below
         bound = block_rows * width if end == "dst" else None
+        if shared is not None:
+            vectors = scaled(vectors, end)
         side = checked_broadcast(vectors.withColumnRenamed("node", end), bound)
-        out = (
-            table.join(side, [*by, end])
-            .groupBy(*by, F.col(to).alias("node"))
-            .agg(*[F.sum(F.col("weight") * F.col(c)).alias(c) for c in q])
-        )
+        terms = table.join(side, [*by, end])
+        if shared is not None:
+            terms = terms.unionByName(shared.join(side, end).select(*terms.columns))
+        out = terms.groupBy(*by, F.col(to).alias("node")).agg(*[F.sum(F.col("weight") * F.col(c)).alias(c) for c in q])
+        if shared is not None:
+            return scaled(out, to)
         if extra is None:
             return out
         total = vectors.join(extra, [*by, "node"]).agg(F.struct(*[F.sum(F.col("_s") * F.col(c)).alias(c) for c in q]))
@@ -248,105 +276,153 @@ def subspace_embed(
             ],
         )
 
-    def small_products(vectors: DataFrame) -> DataFrame:
-        """Per group the width x width matrix of inner products, as one array."""
-        pairs = [F.sum(F.col(q[i]) * F.col(q[j])) for i in range(width) for j in range(i, width)]
-        return vectors.groupBy(*by).agg(F.array(*pairs).alias("upper"), F.count("*").alias("size"))
-
-    def mixing(products: DataFrame) -> DataFrame:
-        """Per group the small matrix that orthonormalises (or diagonalises) the block."""
-
-        def mix(pdf: pd.DataFrame) -> pd.DataFrame:
-            upper = np.array(pdf["upper"].iloc[0])
-            gram = np.zeros((width, width))
-            gram[np.triu_indices(width)] = upper
-            gram = gram + np.triu(gram, 1).T
-            lam, vec = np.linalg.eigh(gram)
-            lam, vec = lam[::-1], vec[:, ::-1]
-            keep = lam > 1e-15 * max(lam[0], 1e-300)
-            scale = np.where(keep, 1 / np.sqrt(np.where(keep, lam, 1.0)), 0.0)
-            out = {c: [pdf[c].iloc[0]] for c in by}
-            out["mix"] = [(vec * scale).ravel()]
-            return pd.DataFrame(out)
-
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in products.select(*by).schema)
-        return products.groupBy(*by).applyInPandas(mix, f"{fields}, mix array<double>")
-
-    def mixed(vectors: DataFrame, mixes: DataFrame, count: int) -> DataFrame:
-        joined = vectors.join(checked_broadcast(mixes.select(*by, "mix"), matrices * width), by)
-        new = []
-        for j in range(count):
-            terms = [F.col(q[i]) * F.col("mix")[i * width + j] for i in range(width)]
-            new.append(sum(terms[1:], terms[0]).alias(q[j]))
-        return joined.select(*by, "node", *new)
+    def operator(vectors: DataFrame) -> DataFrame:
+        if method == "evd":
+            return product(vectors, "dst", "src")
+        return product(product(vectors, "dst", "src"), "src", "dst")
 
     end = "dst" if method == "svd" else "src"
-    names = table.select(*by, F.col(end).alias("node"))
+    names = table.select(*by, F.col(end).alias("node")) if factors is None else factors[1].select(*by, "node")
     if extra is not None:
         names = names.unionByName(extra.select(*by, "node"))
     draw = [(F.xxhash64("node", F.lit(i)) / F.lit(2.0**63)).alias(c) for i, c in enumerate(q)]
     block = cut_lineage(names.distinct().select(*by, "node", *draw))
     block_rows = block.count()
-    # one small row per matrix is broadcast: a join on ``by`` would put a matrix in one task
-    matrices = block.select(*by).distinct().count()
-
-    block = cut_lineage(mixed(block, mixing(small_products(block)), width))
-
-    def pair_sums(vectors: DataFrame, image: DataFrame) -> DataFrame:
-        """Per group the inner products of the block with its image, and of the image with itself."""
-        z = [f"z_{c}" for c in q]
-        both = vectors.join(image.select(*by, "node", *[F.col(a).alias(b) for a, b in zip(q, z)]), [*by, "node"])
-        cross = [F.sum(F.col(a) * F.col(b)) for a in q for b in z]
-        own = [F.sum(F.col(z[i]) * F.col(z[j])) for i in range(width) for j in range(i, width)]
-        return both.groupBy(*by).agg(F.array(*cross).alias("cross"), F.array(*own).alias("own"))
-
-    def ritz(sums: DataFrame) -> DataFrame:
-        """Per group the rotation to the k largest values, the relative residual, and whether they are the largest of all.
-
-        Values outside the block are no larger than the smallest absolute value in it.
-        """
-
-        def rotate(pdf: pd.DataFrame) -> pd.DataFrame:
-            cross = np.array(pdf["cross"].iloc[0]).reshape(width, width)
-            own = np.zeros((width, width))
-            own[np.triu_indices(width)] = pdf["own"].iloc[0]
-            own = own + np.triu(own, 1).T
-            lam, vec = np.linalg.eigh((cross + cross.T) / 2)
-            lam, vec = lam[::-1], vec[:, ::-1]
-            top = max(np.abs(lam).max(), 1e-300)
-            left = np.einsum("ij,ik,kj->j", vec, own, vec)[:k] - lam[:k] ** 2
-            out = {c: [pdf[c].iloc[0]] for c in by}
-            out["mix"] = [vec.ravel()]
-            out["residual"] = [float(np.sqrt(np.maximum(left, 0)).max() / top)]
-            out["certain"] = [bool(lam[k - 1] >= np.abs(lam).min() - tol * top)]
-            return pd.DataFrame(out)
-
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sums.select(*by).schema)
-        return sums.groupBy(*by).applyInPandas(rotate, f"{fields}, mix array<double>, residual double, certain boolean")
-
+    if not block_rows:
+        return block.select(*[c for c in by if c != "_g"], "node", F.array().cast("array<double>").alias("vec"))
+    basis = gathered([block, cut_lineage(operator(block))], q, by)
     for _ in range(rounds):
-        # the operator is A'A of a matrix; of a symmetric one it is A itself, and its square drives the block
-        once = product(block, "dst", "src")
-        if method == "evd":
-            once = cut_lineage(once)
-            found = cut_lineage(ritz(pair_sums(block, once)))
-        image = cut_lineage(product(once, "src", "dst"))
-        if method == "svd":
-            found = cut_lineage(ritz(pair_sums(block, image)))
-        # one row per matrix; one number passes through the driver
-        if found.agg(F.max("residual")).first()[0] <= tol:
+        levels = [basis]
+        last = basis.select(*by, "node", *[F.col("vec")[width + i].alias(c) for i, c in enumerate(q)])
+        for _ in range(DEPTH - 1):
+            last = cut_lineage(operator(last))
+            levels.append(last)
+        space = cut_lineage(gathered(levels, q, by))
+        # one small matrix per group
+        steps = {key: ritz(gram, width, k) for key, gram in inner_products(space, by).items()}
+        basis = cut_lineage(combined(space, {key: s.mix for key, s in steps.items()}, by))
+        if max(s.residual for s in steps.values()) <= tol:
             break
-        block = mixed(image, cut_lineage(mixing(small_products(image))), width)
     else:
         raise RuntimeError(f"the embedding did not converge in {rounds} rounds")
+    top = F.slice("vec", 1, k)
     if method == "svd":
-        # left vectors: the image of the right block, diagonalised by its inner products
-        left = cut_lineage(product(block, "dst", "src"))
-        out = mixed(left, mixing(small_products(left)), k)
-    else:
-        if found.where(~F.col("certain")).take(1):
-            raise RuntimeError("larger eigenvalues may be outside the block; raise oversample")
-        out = mixed(block, found, k)
-    vec = F.array(*q[:k])
+        # left vectors: the images of the right ones, of length 1 (zero where the value is)
+        block = basis.select(*by, "node", *[F.col("vec")[i].alias(c) for i, c in enumerate(q)])
+        left = cut_lineage(gathered([product(block, "dst", "src")], q, by))
+        mixes = {key: orthonormal(gram, k) for key, gram in inner_products(left, by).items()}
+        basis = combined(left, mixes, by)
     table.unpersist()
-    return out.select(*[c for c in by if c != "_g"], "node", vec.alias("vec"))
+    return basis.select(*[c for c in by if c != "_g"], "node", top.alias("vec"))
+
+
+def gathered(levels: list[DataFrame], q: list[str], by: list[str]) -> DataFrame:
+    """``(by.., node, vec)``: the vectors of all levels of a node in one array; a first ``vec`` is kept as it is."""
+    out, parts = None, []
+    for i, level in enumerate(levels):
+        if "vec" in level.columns:
+            parts.append(F.col("vec"))
+        else:
+            level = level.select(*by, "node", F.array(*q).alias(f"_v{i}"))
+            parts.append(F.col(f"_v{i}"))
+        out = level if out is None else out.join(level, [*by, "node"])
+    return out.select(*by, "node", F.concat(*parts).alias("vec"))
+
+
+def _rows_by_group(batch: pa.RecordBatch, by: list[str]) -> Iterator[tuple[tuple, np.ndarray, np.ndarray]]:
+    """The group, the row numbers and the vectors of each group in a batch."""
+    if not batch.num_rows:
+        return
+    vec = batch.column("vec")
+    flat = vec.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+    keys = list(zip(*(batch.column(c).to_pylist() for c in by)))
+    number = {key: i for i, key in enumerate(dict.fromkeys(keys))}
+    own = np.fromiter((number[key] for key in keys), np.int64, len(keys))
+    order = np.argsort(own, kind="stable")
+    cuts = np.searchsorted(own[order], np.arange(len(number) + 1))
+    for key, i in number.items():
+        rows = order[cuts[i] : cuts[i + 1]]
+        yield key, rows, flat[rows]
+
+
+def inner_products(vectors: DataFrame, by: list[str]) -> dict[tuple, np.ndarray]:
+    """Per group the matrix of inner products of the columns of ``vec``: partial sums in the tasks, one sum per group."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.select(*by).schema)
+    kinds = [to_arrow_type(vectors.schema[c].dataType) for c in by]
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+
+        def rows() -> pa.RecordBatch:
+            arrays = [pa.array([key[i] for key in sums], kind) for i, kind in enumerate(kinds)]
+            return pa.RecordBatch.from_arrays([*arrays, pa.array([m.ravel() for m in sums.values()], pa.list_(pa.float64()))], names=[*by, "m"])
+
+        for batch in batches:
+            for key, _, x in _rows_by_group(batch, by):
+                sums[key] = sums.get(key, 0) + x.T @ x
+            if len(sums) > HELD_GROUPS:
+                yield rows()
+                sums.clear()
+        if sums:
+            yield rows()
+
+    def total(group: pa.Table) -> pa.Table:
+        m = np.sum([np.array(x) for x in group.column("m").to_pylist()], axis=0)
+        return pa.Table.from_arrays([*(group.column(c).slice(0, 1) for c in by), pa.array([m], pa.list_(pa.float64()))], names=[*by, "m"])
+
+    schema = f"{fields}, m array<double>"
+    out = vectors.mapInArrow(partial, schema).groupBy(*by).applyInArrow(total, schema)
+    side = lambda m: int(round(len(m) ** 0.5))
+    return {tuple(r[c] for c in by): np.array(r["m"]).reshape(side(r["m"]), -1) for r in out.toLocalIterator()}
+
+
+class RitzStep(NamedTuple):
+    mix: np.ndarray  # new vectors and their first images, as combinations of all columns
+    residual: float
+
+
+def ritz(gram: np.ndarray, width: int, k: int) -> RitzStep:
+    """The ``width`` largest Ritz values of the space of X, OX, .. from the inner products of X, OX, .., O^DEPTH X."""
+    n = gram.shape[0] - width
+    scale = 1 / np.sqrt(np.maximum(np.diag(gram)[:n], 1e-300))
+    scale[np.diag(gram)[:n] <= 0] = 0
+    lam, vec = np.linalg.eigh(gram[:n, :n] * np.outer(scale, scale))
+    alive = lam > 1e-13 * max(lam[-1], 1e-300)
+    white = scale[:, None] * vec[:, alive] / np.sqrt(lam[alive])
+    image = white.T @ gram[:n, width:] @ white
+    theta, turn = np.linalg.eigh((image + image.T) / 2)
+    order = np.argsort(-theta)[:width]
+    theta, c = theta[order], white @ turn[:, order]
+    top = max(np.abs(theta).max(initial=0.0), 1e-300)
+    squares = np.einsum("ij,ik,kj->j", c, gram[width:, width:], c)
+    cross = np.einsum("ij,ik,kj->j", c, gram[:n, width:], c)
+    lengths = np.einsum("ij,ik,kj->j", c, gram[:n, :n], c)
+    left = (squares - 2 * theta * cross + theta**2 * lengths)[:k]
+    mix = np.zeros((n + width, 2 * width))
+    mix[:n, : c.shape[1]] = c
+    mix[width:, width : width + c.shape[1]] = c
+    return RitzStep(mix, float(np.sqrt(np.maximum(left, 0)).max(initial=0.0) / top))
+
+
+def orthonormal(gram: np.ndarray, k: int) -> np.ndarray:
+    """Mix to ``k`` orthonormal vectors, longest first; zero where the columns have no more."""
+    lam, vec = np.linalg.eigh(gram)
+    lam, vec = lam[::-1][:k], vec[:, ::-1][:, :k]
+    keep = lam > 1e-15 * max(lam[0], 1e-300)
+    return vec * np.where(keep, 1 / np.sqrt(np.where(keep, lam, 1.0)), 0.0)
+
+
+def combined(vectors: DataFrame, mixes: dict[tuple, np.ndarray], by: list[str]) -> DataFrame:
+    """``vec`` times the small matrix of its group; at most the groups' matrices are broadcast."""
+    shared = vectors.sparkSession.sparkContext.broadcast(mixes)
+
+    def mix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, rows, x in _rows_by_group(batch, by):
+                y = x @ shared.value[key]
+                kept = batch.take(pa.array(rows))
+                starts = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * y.shape[1])
+                out = pa.ListArray.from_arrays(starts, pa.array(y.ravel()))
+                yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in [*by, "node"]), out], names=[*by, "node", "vec"])
+
+    return vectors.select(*by, "node", "vec").mapInArrow(mix, vectors.select(*by, "node", "vec").schema)
