@@ -40,27 +40,48 @@ def test_result_has_as_many_files_as_the_caller_says(spark, tmp_path):
         assert sorted(json.loads(line)["id"] for p in parts for line in p.read_text().splitlines()) == list(range(100))
 
 
-def test_grouped_map_splits_a_hot_group(spark):
+@pytest.mark.parametrize("fan_in", [2, 3, 1000])
+def test_grouped_map_never_holds_a_group(spark, fan_in):
     from pyspark.sql import functions as F
 
-    df = spark.range(900).select((F.col("id") % 3 % 2).alias("g"), "id")
+    df = spark.range(0, 900, 1, 12).select(F.when(F.col("id") % 3 == 2, None).otherwise(F.col("id") % 3 % 2).alias("g"), "id")
 
-    def fn(pdf):
-        assert len(pdf) <= 250
-        return pdf.groupby("g", as_index=False).agg(n=("id", "size"))
+    def partial(pdf):
+        assert len(pdf) <= 75
+        return pdf.groupby("g", as_index=False, dropna=False).agg(n=("id", "size"), low=("id", "min"))
 
-    def merge(parts):
-        return parts.groupBy("g").agg(F.sum("n").alias("n"))
+    def merge(pdf):
+        assert len(pdf) <= fan_in
+        return pdf.groupby("g", as_index=False, dropna=False).agg(n=("n", "sum"), low=("low", "min"))
 
-    out = grouped.grouped_map(df, "g", fn, "g long, n long", split_on="id", merge=merge, group_rows=100)
-    assert rows_of(out) == [(0, 600), (1, 300)]
-    with pytest.raises(ValueError, match="600 rows"):
-        grouped.grouped_map(df, "g", fn, "g long, n long", group_rows=100)
-    plain = grouped.grouped_map(df.where("id < 200"), "g", fn, "g long, n long")
-    assert rows_of(plain) == [(0, 133), (1, 67)]
+    final = lambda pdf: pdf.assign(n=pdf.n * 10)[["g", "n", "low"]]
+    out = grouped.grouped_map(df, "g", partial, merge, final, "g long, n long, low long", "g long, n long, low long", fan_in)
+    assert sorted(map(str, out.collect())) == sorted(
+        map(str, spark.createDataFrame([(0, 3000, 0), (1, 3000, 1), (None, 3000, 2)], "g long, n long, low long").collect())
+    )
+    assert grouped.grouped_map(df.limit(0), "g", partial, merge, final, "g long, n long, low long", "g long, n long, low long").count() == 0
 
 
-def test_broadcast_side_checks_size(spark):
+def test_grouped_map_refuses_a_merge_that_keeps_all(spark):
+    df = spark.range(0, 40, 1, 8).selectExpr("0L as g", "id")
+    with pytest.raises(ValueError, match="shrink"):
+        grouped.grouped_map(df, "g", lambda p: p, lambda p: p, lambda p: p, "g long, id long", "g long, id long", fan_in=4)
+
+
+def is_broadcast(df):
+    return "broadcast" in df._jdf.queryExecution().logical().toString().lower()
+
+
+def test_broadcast_side_measures_bytes(spark):
+    from pyspark.sql import functions as F
+
+    narrow = spark.range(1000)
+    wide = narrow.select("id", F.repeat(F.lit("x"), 1000).alias("t"), F.array(F.struct(F.lit("é").alias("a"))).alias("s"))
+    assert grouped.table_bytes(narrow) == 8000 and grouped.table_bytes(spark.range(0)) == 0
+    assert grouped.table_bytes(wide) == 1000 * (8 + 1016 + 16 + 8 + 18)
+    nulls = spark.createDataFrame([(None, None, None)], "t string, a array<string>, m map<string,int>")
+    assert grouped.table_bytes(nulls) == 32
+    assert is_broadcast(grouped.broadcast_side(narrow, 10_000)) and not is_broadcast(grouped.broadcast_side(wide, 10_000))
     assert grouped.broadcast_arrays(spark.range(3)).value["id"].tolist() == [0, 1, 2]
     with pytest.raises(ValueError, match="join"):
-        grouped.broadcast_arrays(spark.range(10), rows=5)
+        grouped.broadcast_arrays(wide, 10_000)
