@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from shoal.functions.columns import hash32
 from shoal.operators.cluster import kmeans_labels
-from shoal.operators.graph import LIST_BLOCK, dense_index, drop_self_edges, rank_within
+from shoal.operators.graph import LIST_BLOCK, dense_index, drop_self_edges, list_blocks, rank_within
 from shoal.operators.spectral import spectral_embed
 from shoal.session import cut_lineage
 
@@ -23,20 +23,12 @@ def cluster_sizes(local: DataFrame) -> DataFrame:
 
 
 def local_cluster_members(local: DataFrame, block: int = LIST_BLOCK) -> DataFrame:
-    """Sorted node list per (partition, local cluster): ``(.., part, members)``.
+    """Sorted node list per (partition, local cluster): ``(.., part, members)``, in contiguous blocks of ``block`` nodes.
 
-    A cluster of more than ``block`` nodes has its list in several parts.
+    Parts 0, 1, .. in this order are one sorted list.
     """
-    large = cluster_sizes(local).where(F.col("size") > block).select(*CLUSTER, F.expr(f"size div {block} + 1").alias("parts"))
-    part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("node"), F.col("parts"))).cast("int")
-    return (
-        local.join(large, CLUSTER, "left")
-        .withColumn("part", part)
-        # by cluster alone all parts of a large one would meet in one task again
-        .repartition(*CLUSTER, "part")
-        .groupBy(*CLUSTER, "part")
-        .agg(F.array_sort(F.collect_list("node")).alias("members"))
-    )
+    ranked = rank_within(local.select(*CLUSTER, "node"), CLUSTER, F.col("node"))
+    return list_blocks(ranked, CLUSTER, "node", block, "members")
 
 
 def break_small(local: DataFrame, min_size: int) -> DataFrame:

@@ -132,39 +132,25 @@ def add_self_weight(edges: DataFrame, nodes: DataFrame, weight: float = 10.0) ->
 def adjacency_list(edges: DataFrame, nodes: DataFrame, block: int = LIST_BLOCK) -> DataFrame:
     """Neighbour lists ``(node, part, nbrs)``, duplicates kept, sorted.
 
-    ``edges`` holds one direction. A node without edges keeps an empty list. A
-    node with more than ``block`` neighbours has its list in several parts, so a
-    hub never has to fit in one row.
+    ``edges`` holds one direction. Every list is cut into contiguous blocks of ``block`` neighbours: part 0, 1, ..
+    in this order are one sorted list, and no row is longer, however many neighbours a node has. A node without
+    edges has an empty part 0.
     """
-    counted = symmetrize(edges.select("src", "dst")).groupBy("src", "dst").agg(F.count("*").alias("n"))
-    # a pair repeated more than ``block`` times becomes several blocks of copies
-    blocks = counted.select(
-        "src",
-        "dst",
-        "n",
-        F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {block}"))).alias("blk"),
-    ).select("src", "dst", "blk", F.least(F.lit(block), F.expr(f"n - blk * {block}")).cast("int").alias("copies"))
-    hubs = (
-        counted.groupBy("src").agg(F.sum("n").alias("degree"))
-        .where(F.col("degree") > block)
-        .select("src", F.expr(f"degree div {block} + 1").alias("parts"))
-    )
-    part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("dst", "blk"), F.col("parts"))).cast("int")
-    lists = (
-        blocks.join(hubs, "src", "left")
-        .withColumn("part", part)
-        # by src alone all parts of a hub would meet in one task again
-        .repartition("src", "part")
-        .groupBy("src", "part")
-        .agg(F.array_sort(F.flatten(F.collect_list(F.expr("array_repeat(dst, copies)")))).alias("nbrs"))
-        .withColumnRenamed("src", "node")
-    )
-    without = nodes.select("node").join(counted.select(F.col("src").alias("node")).distinct(), "node", "left_anti")
+    ranked = rank_within(symmetrize(edges.select("src", "dst")), ["src"], F.col("dst"))
+    lists = list_blocks(ranked, ["src"], "dst", block, "nbrs").withColumnRenamed("src", "node")
+    without = nodes.select("node").join(lists.where("part = 0").select("node"), "node", "left_anti")
     return lists.unionByName(
         without.select("node", F.lit(0).alias("part"), F.array().cast("array<bigint>").alias("nbrs"))
     )
 
 
+def list_blocks(ranked: DataFrame, by: list[str], col: str, block: int, out: str) -> DataFrame:
+    """``(by.., part, out)``: sorted lists of ``block`` values each, cut by the column ``rank``."""
+    part = F.expr(f"cast(rank div {block} as int)").alias("part")
+    rows = ranked.select(*by, part, col)
+    return rows.groupBy(*by, "part").agg(F.array_sort(F.collect_list(col)).alias(out))
+
+
 def explode_adjacency(adjacency: DataFrame) -> DataFrame:
     """Neighbour lists -> long rows ``(src, dst)`` plus any partition column."""
     keep = [c for c in adjacency.columns if c not in ("node", "part", "nbrs")]

@@ -117,23 +117,30 @@ def _more(x):
     return x.table("part").select(F.col("p_partkey").alias("node")).unionByName(suppliers)
 
 
-@query(
-    "adjacency_list",
-    sql(
-        """
-SELECT node, 0 AS part, coalesce(array_to_string(list_sort(list(dst) FILTER (dst IS NOT NULL)), ','), '') AS nbrs
-FROM more LEFT JOIN both_ways ON src = node GROUP BY node""",
+def _lists_sql(block: int) -> str:
+    return sql(
+        f"""
+SELECT node, part::INT AS part, coalesce(array_to_string(list_sort(list(dst) FILTER (dst IS NOT NULL)), ','), '') AS nbrs
+FROM (SELECT node, dst, (row_number() OVER (PARTITION BY node ORDER BY dst) - 1) // {block} AS part FROM more LEFT JOIN both_ways ON src = node)
+GROUP BY node, part""",
         MORE_NODES,
         """both_ways AS (
   SELECT l_partkey AS src, l_suppkey AS dst FROM lineitem UNION ALL SELECT l_suppkey, l_partkey FROM lineitem)""",
         graph=False,
         node_table=False,
-    ),
-)
+    )
+
+
+@query("adjacency_list", _lists_sql(graph.LIST_BLOCK))
 def _(x):
     return graph.adjacency_list(_lines(x), _more(x)).select("node", "part", text("nbrs"))
 
 
+@query("adjacency_list_blocks", _lists_sql(8))
+def _(x):
+    return graph.adjacency_list(_lines(x), _more(x), 8).select("node", "part", text("nbrs"))
+
+
 @query("explode_adjacency", sql("SELECT partition_id, src, dst FROM sym JOIN nodes ON node = src"))
 def _(x):
     lists = graph.adjacency_list(x.edges, x.nodes).join(x.nodes.select("node", "partition_id"), "node")

@@ -39,8 +39,8 @@ def test_members_in_any_block_size(local):
     whole = {(r.partition_id, r.cluster): r.members for r in fusion.local_cluster_members(local).collect()}
     assert whole[1, 0] == list(range(20, 31))
     parts = fusion.local_cluster_members(local, block=3).collect()
-    assert sorted(n for r in parts if (r.partition_id, r.cluster) == (1, 0) for n in r.members) == whole[1, 0]
-    assert sum((r.partition_id, r.cluster) == (1, 0) for r in parts) > 1
+    own = sorted((r.part, r.members) for r in parts if (r.partition_id, r.cluster) == (1, 0))
+    assert [len(m) for _, m in own] == [3, 3, 3, 2] and sum((m for _, m in own), []) == whole[1, 0]
 
 
 @pytest.fixture

@@ -80,6 +80,11 @@ def test_adjacency_keeps_duplicates_in_any_block_size(spark, frame, block):
     assert got == want
     parts = Counter(r.node for r in lists)
     assert (parts[0] > 1) == (block == 3)
+    assert all(len(r.nbrs) <= block for r in lists)
+    for node in parts:
+        own = sorted((r.part, r.nbrs) for r in lists if r.node == node)
+        assert [p for p, _ in own] == list(range(len(own)))
+        assert sum((n for _, n in own), []) == sorted(want[node].elements())
     assert {i for i in range(32) if not want[i]} == {r.node for r in lists if not r.nbrs}
     back = graph.explode_adjacency(graph.adjacency_list(frame(edges, "src long, dst long"), nodes, block=block))
     assert Counter(tuple(r) for r in back.collect()) == Counter(edges) + Counter((b, a) for a, b in edges)
