@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,10 +15,10 @@ from shoal.functions import kernels
 from shoal.functions.columns import euclidean, l2_norm
 from shoal.operators.spectral import (
     centre_distances,
-    laplacian_bip,
     laplacian_sym,
+    row_normalize,
     spectral_embed,
-    stack_pilot_worker,
+    subspace_embed,
 )
 from shoal.operators.split import pilot_columns, within_partition_subgraph
 from shoal.session import checked_broadcast, cut_lineage, has_at_most
@@ -37,29 +37,137 @@ def kmeans_labels(
     restarts: int = 1,
     rows_per_task: int = 100_000,
     rows: int | None = None,
+    rounds: int = kernels.ROUNDS,
 ) -> tuple[DataFrame, DataFrame]:
     """K-means on ``(node, vec)``: ``(node, vec, cluster)`` and ``(cluster, centre)``.
 
-    Rows are placed by node id over a number of tasks that depends on the data
-    only, so neither input order nor the shuffle setting changes the result.
+    Starts come from ``parallel_seeds``; a run ends when no label changes and raises after ``rounds`` without
+    that. Of several ``restarts`` the one of least cost counts. Rows are placed by node id over a number of tasks
+    that depends on the data only, so neither input order nor the shuffle setting changes the result.
     Clusters are numbered by their lowest node id.
     """
     tasks = -(-(embedding.count() if rows is None else rows) // rows_per_task) or 1
-    placed = embedding.repartition(tasks, "node").sortWithinPartitions("node")
-    points = placed.withColumn("features", array_to_vector("vec")).persist()
-    models = [KMeans(k=k, seed=seed + i, maxIter=50).fit(points) for i in range(restarts)]
-    model = min(models, key=lambda m: m.summary.trainingCost)
-    found = model.transform(points).select(*embedding.columns, F.col("prediction").alias("_found"))
+    points = embedding.repartition(tasks, "node").sortWithinPartitions("node").persist()
+    runs = [_lloyd(points, parallel_seeds(points, k, seed + i), rounds) for i in range(restarts)]
+    _, spots = min(runs, key=lambda run: run[0])
+    found = points.select(*embedding.columns, nearest_of(F.col("vec"), spots).alias("_found"))
     # clusters are numbered by their lowest node: K rows, K centres of k numbers
     order = found.groupBy("_found").agg(F.min("node").alias("first")).orderBy("first").collect()
-    spots = model.clusterCenters()
+    if not order:
+        return found.withColumn("cluster", F.lit(None).cast("int")).drop("_found"), _centre_table(embedding, [])
     names = F.create_map(*[F.lit(x) for i, row in enumerate(order) for x in (row["_found"], i)])
     labelled = found.withColumn("cluster", names[F.col("_found")]).drop("_found")
-    centres = embedding.sparkSession.createDataFrame(
-        [(i, [float(x) for x in spots[row["_found"]]]) for i, row in enumerate(order)],
-        "cluster INT, centre ARRAY<DOUBLE>",
-    )
-    return labelled, centres
+    return labelled, _centre_table(embedding, [spots[row["_found"]] for row in order])
+
+
+def _centre_table(like: DataFrame, spots: list[np.ndarray]) -> DataFrame:
+    rows = [(i, [float(x) for x in spot]) for i, spot in enumerate(spots)]
+    return like.sparkSession.createDataFrame(rows, "cluster INT, centre ARRAY<DOUBLE>")
+
+
+def nearest_of(vec: Column, spots: np.ndarray) -> Column:
+    """The number of the nearest of a few points, the first of equals."""
+
+    @F.pandas_udf("int")
+    def nearest(vecs: pd.Series) -> pd.Series:
+        return pd.Series(_gaps(np.stack(vecs.to_numpy()), spots).argmin(1).astype(np.int32)) if len(vecs) else pd.Series([], dtype="int32")
+
+    return nearest(vec)
+
+
+def _gaps(x: np.ndarray, spots: np.ndarray) -> np.ndarray:
+    """Squared distances of rows to points."""
+    return ((x[:, None, :] - spots[None]) ** 2).sum(2)
+
+
+def _vectors(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+
+
+# Rounds of over-sampling, and points drawn in one of them per cluster.
+SEED_ROUNDS, SEED_FACTOR = 5, 2
+
+
+def parallel_seeds(points: DataFrame, k: int, seed: int = 7, rounds: int = SEED_ROUNDS, factor: int = SEED_FACTOR) -> np.ndarray:
+    """K starting centres by over-sampling: ``rounds`` passes however large K is.
+
+    A pass takes every point with the odds ``factor * k * gap / sum of gaps`` by a draw of its node id, some ``factor * k``
+    of them. The points taken are weighted by the points nearest to them, and of these few K are drawn one after
+    the other with odds as weight times squared gap. Fewer distinct points give fewer centres.
+    """
+    first = points.select("node", "vec").orderBy(_draw(seed, 0), "node").head()
+    if first is None:
+        return np.empty((0, 0))
+    taken = np.array([first.vec], float)
+    for i in range(1, rounds + 1):
+        gap = lambda spots=taken: _gap_to(F.col("vec"), spots)
+        total = points.agg(F.sum(gap())).first()[0]
+        if not total:
+            break
+        odds = factor * k * F.col("_gap") / F.lit(total)
+        drawn = points.select("node", "vec", gap().alias("_gap")).where(_draw(seed, i) < odds).select("vec").distinct()
+        more = [r.vec for r in drawn.orderBy("vec").collect()]
+        if more:
+            taken = np.concatenate([taken, np.array(more, float)])
+    weights = np.zeros(len(taken))
+    for r in points.groupBy(nearest_of(F.col("vec"), taken).alias("c")).count().collect():
+        weights[r.c] = r["count"]
+    rng = np.random.default_rng(seed)
+    picked = [int(weights.argmax())]
+    while len(picked) < k:
+        odds = weights * _gaps(taken, taken[picked]).min(1)
+        if odds.sum() <= 0:
+            break
+        picked.append(int(rng.choice(len(taken), p=odds / odds.sum())))
+    return taken[picked]
+
+
+def _draw(seed: int, i: int) -> Column:
+    return kernels.draw(F.col("node").cast("long"), kernels.salt(seed, 0, i), lambda x, m: F.pmod(x, F.lit(m)))
+
+
+def _gap_to(vec: Column, spots: np.ndarray) -> Column:
+    @F.pandas_udf("double")
+    def gap(vecs: pd.Series) -> pd.Series:
+        return pd.Series(_gaps(np.stack(vecs.to_numpy()), spots).min(1)) if len(vecs) else pd.Series([], dtype="float64")
+
+    return gap(vec)
+
+
+def _lloyd(points: DataFrame, spots: np.ndarray, rounds: int) -> tuple[float, np.ndarray]:
+    """Cost and centres when no label changes any more. A pass is partial sums in the tasks; an empty cluster stays."""
+    if not len(spots):
+        return 0.0, spots
+    before = None
+    for _ in range(rounds):
+        now, was = spots, before
+
+        def sums(batches: Iterator[pa.RecordBatch], now=now, was=was) -> Iterator[pa.RecordBatch]:
+            count, total = np.zeros(len(now)), np.zeros(now.shape)
+            cost, moved = 0.0, 0
+            for batch in batches:
+                if batch.num_rows:
+                    x = _vectors(batch)
+                    gaps = _gaps(x, now)
+                    own = gaps.argmin(1)
+                    cost += float(gaps.min(1).sum())
+                    moved += len(x) if was is None else int((own != _gaps(x, was).argmin(1)).sum())
+                    count += np.bincount(own, minlength=len(now))
+                    np.add.at(total, own, x)
+            values = [cost, float(moved), *count, *total.ravel()]
+            yield pa.RecordBatch.from_arrays([pa.array([values], pa.list_(pa.float64()))], names=["s"])
+
+        size = 2 + len(spots) * (1 + spots.shape[1])
+        # one row of K * (k + 1) numbers from each task
+        rows = points.select("vec").mapInArrow(sums, "s array<double>")
+        found = np.array(rows.agg(F.array(*[F.sum(F.col("s")[i]) for i in range(size)])).first()[0])
+        cost, moved, count = found[0], found[1], found[2 : 2 + len(spots)]
+        if not moved:
+            return cost, spots
+        total = found[2 + len(spots) :].reshape(spots.shape)
+        before = spots
+        spots = np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], spots)
+    raise RuntimeError(f"k-means did not converge in {rounds} rounds")
 
 
 def pseudo_centres(rows: DataFrame, centres: DataFrame, check: bool = True) -> DataFrame:
@@ -290,7 +398,7 @@ def _cluster_groups(
     spark = rows.sparkSession
     table = core.select("src", "dst", "weight").toArrow()
     m = pilots.count()
-    marks = pseudo.select("rank", "cluster").orderBy("cluster", "rank").toArrow().to_pydict()
+    marks = pseudo.select("rank", "cluster").orderBy("rank", "cluster").toArrow().to_pydict()
     shared = spark.sparkContext.broadcast(
         (*[table.column(c).to_numpy() for c in ("src", "dst", "weight")], m, marks["rank"], marks["cluster"])
     )
@@ -313,42 +421,64 @@ def _cluster_groups(
             u = kernels.unit_rows(u)
         mine = u[m:]
         gap = ((mine[:, None, :] - u[ranks][None]) ** 2).sum(2)
-        best = np.where((mine == 0).all(1), 0, gap.argmin(1))
-        return pd.DataFrame(
-            {"node": nodes, "label": own["label"].astype("Int32").to_numpy(), "cluster": np.array(clusters)[best]}
-        )
+        # the first of equally near centres is the one of lowest rank, as in nearest_centre
+        found = np.where((mine == 0).all(1), min(clusters), np.array(clusters)[gap.argmin(1)])
+        return pd.DataFrame({"node": nodes, "label": own["label"].astype("Int32").to_numpy(), "cluster": found})
 
     return rows.groupBy("partition_id").applyInPandas(cluster, "node long, label int, cluster int")
 
 
+def partition_matrices(rows: DataFrame, core: DataFrame, pilots: DataFrame, regularize: bool) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The matrices of all partitions with the pilot graph held once: own entries, pilot entries, row and column factors.
+
+    The matrix of a partition is the pilot entries over its own. Its degrees are those of the pilot graph plus its own
+    sums, so entries stay as they are and a factor for each row and column scales them. Rows are
+    ``(kind, id)``: 0 and the rank of a pilot, or 1 and the id of a worker; columns are ranks.
+    """
+    key = "partition_id"
+    name = lambda kind, col: F.struct(F.lit(kind).alias("kind"), F.col(col).alias("id"))
+    own = rows.where(F.col("col").isNotNull()).select(key, name(1, "node").alias("src"), F.col("col").alias("dst"), "weight")
+    top = core.select(name(0, "src").alias("src"), "dst", "weight")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    marks = F.col("col").isNull()
+    # one row per partition: its nodes and the sum of its weights
+    parts = rows.groupBy(key).agg(F.count_if(marks).alias("n"), F.sum(zero("weight")).alias("own"))
+    m, total = pilots.agg(F.count("*")).scalar(), F.col("own") + core.agg(zero(F.sum("weight"))).scalar()
+    level = F.lit(1.0 if regularize else 0.0)
+    means = cut_lineage(parts.select(key, (level * total / (F.col("n") + m)).alias("row"), (level * total / m).alias("column")))
+    ranks = pilots.select(F.col("rank").alias("id"))
+
+    def factors(degrees: DataFrame, mean: str) -> DataFrame:
+        degree = F.col("degree") + F.col(mean)
+        scaled = degrees.join(checked_broadcast(means.select(key, mean), bound), key)
+        return scaled.select(key, "node", F.when(degree > 0, 1 / F.sqrt(degree)).otherwise(0.0).alias("factor"))
+
+    bound = means.count()
+    every = ranks.select("id", F.explode(means.agg(F.collect_set(key)).scalar()).alias(key))
+    out = core.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("degree"))
+    into = core.groupBy(F.col("dst").alias("id")).agg(F.sum("weight").alias("_all"))
+    pilot_rows = every.join(out, "id", "left").select(key, name(0, "id").alias("node"), zero("degree").alias("degree"))
+    worker_rows = rows.groupBy(key, "node").agg(F.sum(zero("weight")).alias("degree"))
+    all_rows = pilot_rows.unionByName(worker_rows.select(key, name(1, "node").alias("node"), "degree"))
+    sums = own.groupBy(key, F.col("dst").alias("id")).agg(F.sum("weight").alias("_own"))
+    columns = every.join(into, "id", "left").join(sums, [key, "id"], "left")
+    columns = columns.select(key, F.col("id").alias("node"), (zero("_all") + zero("_own")).alias("degree"))
+    return own, top, cut_lineage(factors(all_rows, "row")), cut_lineage(factors(columns, "column"))
+
+
 def _cluster_spread(
     rows: DataFrame, core: DataFrame, pilots: DataFrame, pseudo: DataFrame, regularize: bool
 ) -> DataFrame:
-    """The partition step as joins and sums: no partition is held in one task.
-
-    Pilot rows are numbered -1 - rank so that they cannot meet a worker id.
-    """
+    """The partition step as joins and sums: no partition is held in one task, and the pilot graph is there once."""
     k = pseudo.count()
     own = rows.where(F.col("col").isNull()).select("partition_id", "node", "label")
     parts = own.select("partition_id").distinct()
-    linked = rows.where(F.col("col").isNotNull()).select(
-        "partition_id", F.struct(F.lit(1).alias("kind"), F.col("node").alias("id")).alias("src"),
-        F.col("col").alias("dst"), "weight",
-    )
-    top = core.select(
-        F.struct(F.lit(0).alias("kind"), F.col("src").alias("id")).alias("src"), "dst", "weight"
-    )
-    stacked = stack_pilot_worker(top, linked, parts)
-    ids = parts.agg(F.collect_set("partition_id")).scalar()
-    pilot_names = pilots.select(F.explode(ids).alias("partition_id"), F.col("rank").alias("id"))
-    row_names = own.select(
-        "partition_id", F.struct(F.lit(1).alias("kind"), F.col("node").alias("id")).alias("node")
-    ).unionByName(
-        pilot_names.select("partition_id", F.struct(F.lit(0).alias("kind"), F.col("id")).alias("node"))
-    )
-    col_names = pilot_names.select("partition_id", F.col("id").alias("node"))
-    scaled = cut_lineage(laplacian_bip(stacked, regularize, ["partition_id"], row_names, col_names))
-    vectors = cut_lineage(spectral_embed(scaled, k, by=["partition_id"], normalize=regularize))
+    links, top, row_factors, column_factors = partition_matrices(rows, core, pilots, regularize)
+    vectors = subspace_embed(links, k, by=["partition_id"], shared=top.persist(), factors=(row_factors, column_factors))
+    top.unpersist()
+    if regularize:
+        vectors = row_normalize(vectors)
+    vectors = cut_lineage(vectors)
     marks = pseudo.select(F.struct(F.lit(0).alias("kind"), F.col("rank").alias("id")).alias("node"), "cluster", "rank")
     centres = vectors.join(checked_broadcast(marks, k), "node").select(
         "partition_id", "cluster", F.col("vec").alias("centre"), "rank"
@@ -426,6 +556,6 @@ def local_spectral_clustering(
     small = rest.groupBy("partition_id").applyInPandas(cluster, schema)
     large = entries.join(hot, "partition_id", "left_semi")
     scaled = cut_lineage(laplacian_sym(large, by=["partition_id"]))
-    vectors = cut_lineage(spectral_embed(scaled, k, by=["partition_id"], tol=kernels.TOLERANCE, rounds=300))
+    vectors = cut_lineage(spectral_embed(scaled, k, by=["partition_id"]))
     return small.unionByName(kmeans_by(vectors, k, ["partition_id"], seed))
 

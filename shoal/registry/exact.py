@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shoal.operators import cluster, graph, split
+from shoal.functions.columns import hash32
+from shoal.operators import cluster, graph, spectral, split
 from shoal.plans import end_to_end
 from shoal.registry.catalog import query, rounded
 from shoal.registry.embedding import long_worker_edges
@@ -129,3 +130,82 @@ FROM found{i} f JOIN named{i} m ON m.block = f.node % 3"""
 def _(x):
     rates = end_to_end.pilot_ratio_sweep(x.blocks, _labelled(x), 3, SWEEP)
     return rounded(rates.withColumn("repeat", F.col("repeat").cast("int")), "misclustering_rate")
+
+
+SPOTS = f"""
+spots AS (
+  SELECT p_partkey AS node, p_partkey % 5 AS own, [10.0::DOUBLE * (p_partkey % 5), {sql_hash("p_partkey::VARCHAR")} % 1000 / 1000.0] AS vec
+  FROM part),
+numbered AS (SELECT own, (row_number() OVER (ORDER BY min(node)) - 1)::INT AS cluster, avg(vec[1]) AS x, avg(vec[2]) AS y FROM spots GROUP BY own)"""
+
+
+@query(
+    "kmeans_labels_exact",
+    sql(
+        """
+SELECT cluster, count(*) AS size, round(any_value(x), 5) AS x, round(any_value(y), 5) AS y,
+  round(sum((vec[1] - x) * (vec[1] - x) + (vec[2] - y) * (vec[2] - y)), 4) AS cost
+FROM spots JOIN numbered USING (own) GROUP BY cluster""",
+        SPOTS,
+        graph=False,
+        node_table=False,
+    ),
+)
+def _(x):
+    """Five groups far apart: sizes, centres and cost of each cluster."""
+    key = F.col("p_partkey")
+    vec = F.array((10.0 * (key % 5)).cast("double"), (hash32(key) % 1000 / 1000).cast("double"))
+    labelled, centres = cluster.kmeans_labels(x.table("part").select(key.alias("node"), vec.alias("vec")), 5)
+    gap = F.aggregate(F.zip_with("vec", "centre", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d)
+    sums = labelled.join(centres, "cluster").groupBy("cluster").agg(
+        F.count("*").alias("size"), F.first("centre").alias("c"), F.round(F.sum(gap), 4).alias("cost")
+    )
+    return sums.select("cluster", "size", F.round(F.col("c")[0], 5).alias("x"), F.round(F.col("c")[1], 5).alias("y"), "cost")
+
+
+LEVERAGE = sql(
+    """
+SELECT src AS node, round(degree / sum(degree) OVER (PARTITION BY src % 3), 6) AS leverage
+FROM (SELECT src, sum(weight) AS degree FROM sym WHERE src % 3 = dst % 3 GROUP BY src)""",
+    node_table=False,
+)
+
+
+def _leverage(x, method: str):
+    """Squared length of each row of the embedding: the leading vectors span the roots of the degrees of each block."""
+    scaled = spectral.laplacian_sym(x.blocks, False)
+    vectors = spectral.spectral_embed(scaled, 3, method, local_entries=0)
+    total = F.aggregate("vec", F.lit(0.0), lambda s, v: s + v * v)
+    return vectors.select("node", F.round(total, 6).alias("leverage"))
+
+
+@query("spectral_embed_svd_exact", LEVERAGE)
+def _(x):
+    return _leverage(x, "svd")
+
+
+@query("spectral_embed_evd_exact", LEVERAGE)
+def _(x):
+    return _leverage(x, "evd")
+
+
+COUNTS = (2, 4, 8)
+
+
+@query(
+    "method_comparison_exact",
+    sql(
+        f"""
+SELECT 'pilot_distributed' AS method, m::INT AS partitions, rate AS misclustering_rate
+FROM (SELECT round(sum((f.cluster <> n.cluster)::INT) / count(*), 6) AS rate FROM found f JOIN named n ON n.block = f.node % 3),
+  (SELECT unnest({list(COUNTS)}) AS m)
+UNION ALL SELECT 'divide_conquer', {PARTITIONS}, 0.0""",
+        _tables(),
+    ),
+)
+def _(x):
+    """The pilot method never depends on the partitions. In more than two partitions a block falls apart, so there
+    divide and conquer has no known result and is left out."""
+    rates = end_to_end.method_comparison(x.blocks, _labelled(x), 3, COUNTS, RATIO)
+    known = (F.col("method") == "pilot_distributed") | (F.col("partitions") == PARTITIONS)
+    return rounded(rates.where(known).withColumn("partitions", F.col("partitions").cast("int")), "misclustering_rate")
