@@ -10,6 +10,7 @@ first, until all pairs between different components have been tested. So no link
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +18,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from shoal.llm.common import WordHashes, ascii_words, shingle_set, signed, written
+from shoal.llm.common import WordHashes, ascii_words, discard, shingle_set, signed, written
 from shoal.llm.components import connected_components
-from shoal.llm.partenum import SKETCH_BITS, parity_sketch, signatures
+from shoal.llm.partenum import Sketches, parity_sketch, signatures
 from shoal.session import checked_broadcast, cut_lineage
 
 SHINGLE = 5
@@ -33,8 +34,9 @@ REMEMBERED = 500_000
 BLOCK = 2048
 # Pairs between the same two components that a signature lists at first.
 MOST = 4
-# Pieces that the partners of one leader are dealt into.
-PIECES = 16
+# Partners of one leader in a piece (on average), and pieces at most.
+PARTNERS = 64
+PIECES = 256
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -128,12 +130,15 @@ def _candidates(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """``(a, b)`` of ``k1`` as pairs of class ids whose sizes and sketches allow the similarity."""
     narrow = classes.select("k1", "cid", "n", "sketch")
     both = pairs.join(narrow.toDF("a", "ca", "na", "sa"), "a").join(narrow.toDF("b", "cb", "nb", "sb"), "b")
-    both = both.where(F.col("ca") != F.col("cb")).select("ca", "na", "sa", "cb", "nb", "sb")
+    # Sizes alone rule most pairs out before their sketches travel to Python.
+    fits = (F.col("na") * Q >= F.col("nb") * P) & (F.col("nb") * Q >= F.col("na") * P)
+    both = both.where((F.col("ca") != F.col("cb")) & fits).select("ca", "na", "sa", "cb", "nb", "sb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ca, na, cb, nb = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3, 4))
-            differing = np.bitwise_count(_bits(batch.column(2)) ^ _bits(batch.column(5))).sum(axis=1, dtype=np.int64)
+            every = np.arange(batch.num_rows)
+            differing = Sketches(batch.column(2).to_pylist()).differing(every, Sketches(batch.column(5).to_pylist()), every)
             fits = _may_be_similar(na, nb, differing)
             low, high = np.minimum(ca, cb)[fits], np.maximum(ca, cb)[fits]
             yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], names=["a", "b"])
@@ -141,11 +146,6 @@ def _candidates(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
-def _bits(column: pa.Array) -> np.ndarray:
-    """Sketches as rows of longs."""
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), SKETCH_BITS // 64)
-
-
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether two non-empty shingle sets have a Jaccard similarity of 0.8 or more."""
     shared = len(np.intersect1d(a, b, assume_unique=True))
@@ -167,11 +167,13 @@ def _texts_of(pairs: DataFrame, classes: DataFrame, keyed: DataFrame) -> DataFra
 def _verified(pairs: DataFrame, classes: DataFrame, keyed: DataFrame) -> DataFrame:
     """The pairs ``(a, b)`` of class ids that are similar, tested on their whole texts.
 
-    The partners of a class are dealt into pieces, each with a copy of the class's text, so a
-    leader of very many classes is spread over tasks; a task holds one set and reads the others as a stream.
+    The partners of a class are dealt into as many pieces as they need, each with a copy of the class's text, so a
+    leader of very many classes is spread over tasks; a task holds one set and reads the others as a stream. The texts
+    go once the links are written.
     """
     texts = _texts_of(pairs, classes, keyed)
-    dealt = pairs.withColumn("piece", F.pmod(F.xxhash64("b"), F.lit(PIECES)))
+    needed = pairs.groupBy("a").agg(F.least(F.lit(PIECES), F.expr(f"(count(*) - 1) div {PARTNERS} + 1")).alias("pieces"))
+    dealt = pairs.join(needed, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("pieces")).alias("piece"))
     partners = dealt.join(texts, F.col("b") == F.col("cid")).select("a", "piece", F.col("b").alias("b"), "text")
     own = dealt.select("a", "piece").distinct().join(texts, F.col("a") == F.col("cid"))
     own = own.select("a", "piece", F.lit(None).cast("long").alias("b"), "text")
@@ -190,7 +192,9 @@ def _verified(pairs: DataFrame, classes: DataFrame, keyed: DataFrame) -> DataFra
                     right.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long")
+    links = cut_lineage(both.mapInArrow(run, "a long, b long"))
+    discard(texts)
+    return links
 
 
 def _across(collisions: DataFrame, classes: DataFrame, components: DataFrame, most: int) -> DataFrame:
@@ -229,12 +233,15 @@ def _across(collisions: DataFrame, classes: DataFrame, components: DataFrame, mo
     dealt = dealt.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
 
     def crossed(group: list[list]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        block, cid, n, component, bits = (np.concatenate(x) for x in zip(*group))
+        *columns, sketches = zip(*group)
+        block, cid, n, component = (np.concatenate(x) for x in columns)
+        bits = Sketches(list(chain(*sketches)))
         first, second = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
         left, right, far = [], [], []
         for x in first:
             near = second[(component[second] != component[x]) & (cid[second] > cid[x])]
-            differing = np.bitwise_count(bits[near] ^ bits[x]).sum(axis=1, dtype=np.int64)
+            near = near[_may_be_similar(n[near], n[x], 0)]
+            differing = bits.differing(near, bits, np.full(len(near), x))
             fits = _may_be_similar(n[near], n[x], differing)
             left.append(np.full(int(fits.sum()), x))
             right.append(near[fits])
@@ -261,7 +268,8 @@ def _across(collisions: DataFrame, classes: DataFrame, components: DataFrame, mo
             return pa.RecordBatch.from_arrays(columns, names=["a", "b", "left_out"])
 
         for batch in batches:
-            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)] + [_bits(batch.column(7))]
+            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
+            sketches = batch.column(7).to_pylist()
             keys = np.stack(columns[:3], 1)
             cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
             for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)]):
@@ -272,7 +280,7 @@ def _across(collisions: DataFrame, classes: DataFrame, components: DataFrame, mo
                     yield out()
                     held = []
                 at = key
-                held.append([c[start:end] for c in columns[3:]])
+                held.append([*(c[start:end] for c in columns[3:]), sketches[start:end]])
         if held:
             yield out()
 
@@ -298,14 +306,14 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     collisions = written(_collisions(_signed_rows(keyed, frequent)), "collisions")
     pairs = cut_lineage(_candidates(collisions.select(F.col("leader").alias("a"), F.col("k1").alias("b")).distinct(), classes))
-    links = cut_lineage(_verified(pairs, classes, keyed))
+    links = _verified(pairs, classes, keyed)
     components = cut_lineage(connected_components(links))
     most = MOST
     while True:
         across = cut_lineage(_across(collisions, classes, components, most))
         fresh = cut_lineage(across.select("a", "b").join(pairs, ["a", "b"], "left_anti"))
         if fresh.take(1):
-            links = links.unionByName(cut_lineage(_verified(fresh, classes, keyed)))
+            links = links.unionByName(_verified(fresh, classes, keyed))
             pairs = pairs.unionByName(fresh)
             components = cut_lineage(connected_components(links))
         if not across.where("left_out").take(1):

@@ -121,15 +121,55 @@ def _of_scheme(elements: np.ndarray, rare: np.ndarray, band: int, d: int) -> np.
     return made if first >= len(made) else np.partition(made, first - 1)[:first]
 
 
-# Bits of a parity sketch.
-SKETCH_BITS = 2048
+# Least bits of a parity sketch, and bits per element of larger sets (at least).
+SKETCH_BITS, SKETCH_SHARE = 2048, 2
+
+
+def sketch_bits(n: int) -> int:
+    """Bits of the sketch of a set of ``n`` elements: a power of two, so that wider sketches fold to narrower ones."""
+    return max(SKETCH_BITS, 1 << (SKETCH_SHARE * n - 1).bit_length())
 
 
 def parity_sketch(elements: np.ndarray) -> bytes:
     """A bit per hash value: whether an odd number of elements has it.
 
     An element in one set only changes one bit, so two sketches differ in at most as many bits as the sets do in
-    elements: a pair whose sketches differ in more cannot be similar.
+    elements: a pair whose sketches differ in more cannot be similar. The width follows the size of the set: in a
+    narrow sketch large sets that share nothing would differ in half of the bits at most.
     """
-    odd = np.bincount((elements >> np.uint64(40)) % np.uint64(SKETCH_BITS), minlength=SKETCH_BITS) & 1
+    bits = sketch_bits(len(elements))
+    odd = np.bincount(((elements >> np.uint64(30)) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def folded(sketches: np.ndarray, words: int) -> np.ndarray:
+    """Rows of a sketch as the sketches of ``words`` longs that the same sets would have."""
+    while sketches.shape[-1] > words:
+        half = sketches.shape[-1] // 2
+        sketches = sketches[..., :half] ^ sketches[..., half:]
+    return sketches
+
+
+class Sketches:
+    """Sketches of any widths, held in one matrix per width."""
+
+    def __init__(self, sketches: list[bytes]):
+        self.words = np.fromiter((len(x) // 8 for x in sketches), np.int64, len(sketches))
+        self.place = np.zeros(len(sketches), np.int64)
+        self.rows = {}
+        for w in np.unique(self.words).tolist():
+            own = np.flatnonzero(self.words == w)
+            self.place[own] = np.arange(len(own))
+            self.rows[w] = np.frombuffer(b"".join(sketches[i] for i in own.tolist()), np.uint64).reshape(len(own), w)
+
+    def differing(self, at: np.ndarray, others: Sketches, to: np.ndarray) -> np.ndarray:
+        """Bits in which sketch ``at[i]`` and sketch ``to[i]`` of ``others`` differ, in the narrower width."""
+        out = np.zeros(len(at), np.int64)
+        pairs = self.words[at] * (1 << 32) + others.words[to]
+        for pair in np.unique(pairs).tolist():
+            own = np.flatnonzero(pairs == pair)
+            w, v = pair >> 32, pair & 0xFFFFFFFF
+            a = folded(self.rows[w][self.place[at[own]]], min(w, v))
+            b = folded(others.rows[v][others.place[to[own]]], min(w, v))
+            out[own] = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+        return out

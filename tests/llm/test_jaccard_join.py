@@ -3,7 +3,7 @@ from llm_support import by_id, docs, llm  # noqa: F401
 
 from shoal.llm import jaccard_join as j
 from shoal.llm.components import connected_components
-from shoal.llm.partenum import differences, parity_sketch, signatures
+from shoal.llm.partenum import Sketches, differences, parity_sketch, signatures, sketch_bits
 
 
 def shingles(text):
@@ -77,8 +77,27 @@ def test_similar_sets_share_a_signature_and_pass_the_sketch():
             shared = len(np.intersect1d(a, b))
             if 5 * shared >= 4 * (len(a) + len(b) - shared):
                 assert len(np.intersect1d(signatures(a, frequent), signatures(b, frequent)))
-            bits = [int.from_bytes(parity_sketch(x), "big") for x in (a, b)]
-            assert (bits[0] ^ bits[1]).bit_count() <= len(a) + len(b) - 2 * shared
+            zero = np.zeros(1, np.int64)
+            one, other = (Sketches([parity_sketch(x)]) for x in (a, b))
+            assert one.differing(zero, other, zero)[0] <= len(a) + len(b) - 2 * shared
+
+
+def test_sketches_of_any_width_fold_and_tell_large_sets_apart():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (0, 1, 500, 1000, 1025, 1200, 5000, 6000, 20_000, 24_000)]
+    sets += [s[: len(s) * 9 // 10] for s in sets]
+    held = Sketches([parity_sketch(s) for s in sets])
+    pairs = [(i, k) for i in range(len(sets)) for k in range(len(sets))]
+    at, to = (np.array(x) for x in zip(*pairs))
+    for (i, k), d in zip(pairs, held.differing(at, held, to).tolist()):
+        a, b = sets[i], sets[k]
+        apart = len(np.setxor1d(a, b))
+        assert d <= apart
+        narrow = min(sketch_bits(len(a)), sketch_bits(len(b)))
+        bits = lambda s: np.bincount(((s >> np.uint64(30)) % np.uint64(narrow)).astype(np.int64), minlength=narrow) & 1  # noqa: E731, B023
+        assert d == int((bits(a) ^ bits(b)).sum())
+        if min(len(a), len(b)) >= 500 and 4 * len(a) <= 5 * len(b) and 4 * len(b) <= 5 * len(a) and apart == len(a) + len(b):
+            assert not j._may_be_similar(len(a), len(b), d)
 
 
 def test_one_of_each_keeps_columns_and_blank_texts(docs):
