@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -41,6 +42,16 @@ def discard(table: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files and checkpoints that nothing refers to any more.
+
+    Its cleaner learns of them when the driver collects its garbage, which a driver with little to do puts off; a loop
+    of many small rounds would keep the files of all of them until then.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def text_key(text: Column) -> Column:
     """128 bits of a text as a struct of two longs; equal texts have equal keys."""
     return F.struct(F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(17), text).alias("k2"))

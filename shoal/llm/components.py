@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shoal.llm.common import release
 from shoal.session import cut_lineage
 
 
@@ -43,6 +44,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if not state.n:
             break
         edges = cut_lineage(_small_star(_large_star(edges)))
+        release(edges.sparkSession)
     roots = edges.select(F.col("b").alias("node")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         roots.select("node", F.col("node").alias("component"))

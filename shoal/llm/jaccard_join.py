@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from shoal.llm.common import WordHashes, ascii_words, discard, shingle_set, signed, written
+from shoal.llm.common import WordHashes, ascii_words, discard, release, shingle_set, signed, written
 from shoal.llm.components import connected_components
 from shoal.llm.partenum import Sketches, parity_sketch, signatures
 from shoal.session import checked_broadcast, cut_lineage
@@ -194,6 +194,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, keyed: DataFrame) -> DataFra
 
     links = cut_lineage(both.mapInArrow(run, "a long, b long"))
     discard(texts)
+    release(links.sparkSession)
     return links
 
 
@@ -305,6 +306,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = cut_lineage(classes.withColumn("cid", F.monotonically_increasing_id()))
 
     collisions = written(_collisions(_signed_rows(keyed, frequent)), "collisions")
+    release(spark)
     pairs = cut_lineage(_candidates(collisions.select(F.col("leader").alias("a"), F.col("k1").alias("b")).distinct(), classes))
     links = _verified(pairs, classes, keyed)
     components = cut_lineage(connected_components(links))
@@ -312,6 +314,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     while True:
         across = cut_lineage(_across(collisions, classes, components, most))
         fresh = cut_lineage(across.select("a", "b").join(pairs, ["a", "b"], "left_anti"))
+        release(spark)
         if fresh.take(1):
             links = links.unionByName(_verified(fresh, classes, keyed))
             pairs = pairs.unionByName(fresh)
