@@ -5,7 +5,15 @@ import pytest
 from llm_support import by_id, docs, llm  # noqa: F401
 
 from shoal.llm.quality_classifier import accepted, fit_quality, quality_query
-from shoal.llm.toxicity import ToxicityModel, fit_toxicity, maximal_segments, toxicity_query, toxicity_scores
+from shoal.llm.toxicity import (
+    ToxicityModel,
+    extreme_value_fit,
+    fit_toxicity,
+    maximal_segments,
+    significance,
+    toxicity_query,
+    toxicity_scores,
+)
 from shoal.llm.training import labelled_sample
 
 WORDS = [a + b + c for a in ("th", "er", "on", "an") for b in ("in", "ou", "ea", "st") for c in ("e", "ly", "ed", "ing")]
@@ -102,3 +110,36 @@ def test_maximal_segments_match_brute_force():
 def test_words_lean_on_their_beginnings():
     model = ToxicityModel(odds={"gro-": 2.0}, known=frozenset({"grom-"}))
     assert model.score_of("grob") == 2.0 and model.score_of("gromx") < 0 and model.score_of("other") < 0
+
+
+@pytest.mark.parametrize("location, scale", [(-0.5, 0.35), (-3.0, 0.9), (-12.0, 2.5)])
+def test_extreme_value_fit_of_simulated_maxima(location, scale):
+    rng = np.random.default_rng(6)
+    n = rng.integers(20, 2000, 3000)
+    best = location + scale * (np.log(n) + rng.gumbel(size=len(n)))
+    best[best < 1.5] = 0.0
+    best[:60] = 90.0  # wrong labels
+    at, spread = extreme_value_fit(list(zip(best, n.tolist())))
+    assert abs(spread / scale - 1) < 0.15
+    # What the fit is for: the score of which one text of 500 tokens in a hundred has a better one.
+    high = location + scale * (np.log(500) - np.log(-np.log(0.99)))
+    sure = significance(high, 500, ToxicityModel(location=at, scale=spread))
+    assert 1.6 < sure < 2.4
+    assert extreme_value_fit([(2.0, 10)] * 9 + [(0.0, 0)] * 50) == (0.0, 1.0)
+
+
+def test_significance_grows_with_the_score_and_falls_with_the_length():
+    model = ToxicityModel(location=-0.5, scale=0.4)
+    values = [significance(s, 100, model) for s in (-5, 1, 2, 4, 20, 400)]
+    assert values[0] == 0 and values == sorted(values) and len(set(values)) == len(values)
+    assert significance(4, 10, model) > significance(4, 100, model) > significance(4, 10**6, model)
+
+
+def test_calibration_rises_with_significance_and_offsets_are_of_the_text(llm):
+    table = llm.createDataFrame([(i, toxic_text(i)) for i in range(400)], "doc_id long, text string")
+    labels = llm.createDataFrame([(i, int(i % 3 == 0)) for i in range(400)], "doc_id long, toxic int")
+    model = fit_toxicity(table, labels)
+    assert model.weights[0] > 0 and model.weights[1] >= 0
+    text = "\u0130\u0130\u0130\u0130 the GROMK gromkel vrish the"
+    row = toxicity_scores(llm.createDataFrame([(1, text)], "doc_id long, text string"), model, ["doc_id"]).first()
+    assert [text[p["start"] : p["end"]] for p in row.passages] == ["GROMK gromkel vrish"]
