@@ -264,24 +264,33 @@ def _(table):
 OP10_SQL = r"""
 WITH texts AS (
   SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
-    count(*) OVER (PARTITION BY coalesce(text, '')) > 1 AS whole_copy FROM documents),
+    count(*) OVER (PARTITION BY coalesce(text, '')) > 1 AS whole_copy,
+    min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS own FROM documents),
 spans AS MATERIALIZED (
-  SELECT doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) AS g
-  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM texts WHERE len(w) >= 50)),
-again AS (SELECT g FROM spans GROUP BY g HAVING count(*) > 1),
-found AS (SELECT doc_id, i FROM spans JOIN again USING (g)),
+  SELECT doc_id, own, i, md5(array_to_string(w[i : i + 49], ' ')) AS g
+  FROM (SELECT doc_id, own, w, unnest(range(1, len(w) - 48)) AS i FROM texts WHERE len(w) >= 50)),
+again AS (SELECT g, min(own::HUGEINT * 4294967296 + i) AS low FROM spans GROUP BY g HAVING count(*) > 1),
+found AS (SELECT doc_id, own, i, own::HUGEINT * 4294967296 + i > low AS late FROM spans JOIN again USING (g)),
 marked AS (
-  SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS fresh FROM found),
-runs AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked)
-SELECT doc_id, min(i) - 1 AS start, max(i) + 49 AS "end", max(i) - min(i) + 50 AS n_words, any_value(whole_copy) AS whole_copy
-FROM runs JOIN texts USING (doc_id) GROUP BY doc_id, run"""
+  SELECT doc_id, own, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS fresh,
+    CASE WHEN own <> doc_id THEN NULL WHEN NOT late THEN 0
+      ELSE least(50, coalesce(i - lag(i) OVER (PARTITION BY doc_id, late ORDER BY i), 50)) END AS cut FROM found),
+runs AS (SELECT doc_id, own, i, cut, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked),
+passages AS (
+  SELECT doc_id, min(i) - 1 AS start, max(i) + 49 AS "end", max(i) - min(i) + 50 AS n_words,
+    coalesce(sum(cut), max(i) - min(i) + 50)::BIGINT AS n_cut
+  FROM runs GROUP BY doc_id, run)
+SELECT doc_id, start, "end", n_words, whole_copy, n_cut = 0 AS is_first, n_cut FROM passages JOIN texts USING (doc_id)"""
 
 
 @query("op10_suffix_dedup", OP10_SQL)
 def _(table):
     from shoal.llm.suffix_dedup import repeated_passages
 
-    return repeated_passages(table("documents")).drop("is_first")
+    found = repeated_passages(table("documents"))
+    n_cut = F.aggregate("cut", F.lit(0), lambda n, c: n + c["end"] - c["start"]).cast("long")
+    return found.withColumn("n_cut", n_cut).drop("cut")
+
 
 # The model of whole pieces with byte fallback; a parameter, never copied.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
