@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -131,6 +130,12 @@ def within_partition_subgraph(
     )
 
 
+def long_worker_edges(edges: DataFrame, pilots: DataFrame, partitions: int, pilot_bound: int | None = None) -> DataFrame:
+    """Edges ``(partition_id, src, dst, weight)`` of all workers, to any node; the partition is the hash of ``src``."""
+    others = edges.join(checked_broadcast(pilots.select(F.col("node").alias("src")), pilot_bound), "src", "left_anti")
+    return others.select(partition_of("src", partitions).alias("partition_id"), "src", "dst", "weight")
+
+
 def pilot_columns(edges: DataFrame, pilots: DataFrame, end: str = "dst", pilot_bound: int | None = None) -> DataFrame:
     """Replace a pilot endpoint by its rank, which is its column number."""
     ranks = checked_broadcast(pilots.select(F.col("node").alias(end), F.col("rank").alias("_rank")), pilot_bound)
@@ -160,14 +165,14 @@ class Split(NamedTuple):
 
 
 def split_pilot_worker(
-    edges: DataFrame, nodes: DataFrame, m: int, partitions: int | None = None, random: bool = False
+    edges: DataFrame, nodes: DataFrame, m: int, partitions: int | None = None, random: bool = False, seed: str = "pilot"
 ) -> Split:
     """Pilots, workers and both edge sets of a symmetric edge table.
 
-    Without ``partitions`` the ``partition_id`` column of ``nodes`` is used. The
-    chosen pilots are written once because four plans read them.
+    Without ``partitions`` the ``partition_id`` column of ``nodes`` is used. ``seed`` is that of
+    random pilots. The chosen pilots are written once because four plans read them.
     """
-    chosen = random_pilots(nodes, m) if random else top_degree_pilots(edges, nodes, m)
+    chosen = random_pilots(nodes, m, seed) if random else top_degree_pilots(edges, nodes, m)
     pilots = cut_lineage(chosen)
     kept = nodes if partitions is None else assign_partitions(nodes, partitions)
     workers = worker_nodes(kept, pilots, m)
@@ -226,8 +231,8 @@ def attach_labels(df: DataFrame, nodes: DataFrame) -> DataFrame:
     return df.join(nodes.select("node", "label"), "node", "left")
 
 
-def pilots_for_ratio(nodes: DataFrame, ratio: float) -> int:
-    """``ceil(ratio * n)`` as a number, for planning."""
-    return math.ceil(nodes.count() * ratio)
+def pilots_for_ratio(nodes: DataFrame, ratio: float, rounding: str = "ceil") -> int:
+    """``m`` of ``pilot_count`` as a number, for planning."""
+    return pilot_count(nodes, ratio, rounding).first()["m"]
 
 

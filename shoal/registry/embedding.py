@@ -8,7 +8,6 @@ from shoal.operators import cluster, graph, spectral, split
 from shoal.plans import end_to_end
 from shoal.registry.catalog import PILOTS, query, rounded
 from shoal.registry.fixtures import sql, sql_hash
-from shoal.session import checked_broadcast
 
 LOOPED = "looped AS (SELECT src, dst, weight FROM sym UNION ALL SELECT node, node, 10.0::DOUBLE FROM nodes)"
 LOOP_DEGREES = "d AS (SELECT src AS node, sum(weight) AS d FROM looped GROUP BY src), dm AS (SELECT avg(d) AS m FROM d)"
@@ -261,10 +260,7 @@ def _(x):
 
 
 def long_worker_edges(edges, parts, m, partitions):
-    """Edges ``(partition_id, src, dst, weight)`` of all workers, to any node; the partition is the hash of ``src``."""
-    pilots = checked_broadcast(parts.pilots.select(F.col("node").alias("src")), m)
-    others = edges.join(pilots, "src", "left_anti")
-    return others.select(split.partition_of("src", partitions).alias("partition_id"), "src", "dst", "weight")
+    return split.long_worker_edges(edges, parts.pilots, partitions, m)
 
 
 @query("pilot_distributed_clustering")

@@ -20,15 +20,15 @@ RATIO = 0.2
 PARTITIONS = 2
 
 
-def _tables(ratio: float = RATIO, tag: str = "") -> str:
-    """``found<tag>``: node, label, kind and cluster of every node by the pilot method."""
+def _tables(ratio: float = RATIO, tag: str = "", order: str = "degree DESC", whole: str = "ceil") -> str:
+    """``found<tag>``: node, label, kind and cluster of every node by the pilot method; pilots come first by ``order``."""
     return f"""
 inside{tag} AS MATERIALIZED (SELECT src, dst, weight FROM sym WHERE src % 3 = dst % 3),
 degrees{tag} AS MATERIALIZED (
   SELECT node, label, coalesce(sum(weight), 0) AS degree FROM nodes LEFT JOIN inside{tag} ON src = node GROUP BY node, label),
 core{tag} AS MATERIALIZED (
-  SELECT node, label FROM (SELECT node, label, row_number() OVER (ORDER BY degree DESC, node) - 1 AS rank FROM degrees{tag})
-  WHERE rank < (SELECT ceil(count(*) * {ratio}) FROM nodes)),
+  SELECT node, label FROM (SELECT node, label, row_number() OVER (ORDER BY {order}, node) - 1 AS rank FROM degrees{tag})
+  WHERE rank < (SELECT {whole}(count(*) * {ratio}) FROM nodes)),
 named{tag} AS (SELECT node % 3 AS block, row_number() OVER (ORDER BY min(node)) - 1 AS cluster FROM core{tag} GROUP BY node % 3),
 linked{tag} AS (SELECT DISTINCT src AS node FROM inside{tag} JOIN core{tag} ON dst = node),
 found{tag} AS MATERIALIZED (
@@ -209,3 +209,68 @@ def _(x):
     rates = end_to_end.method_comparison(x.blocks, _labelled(x), 3, COUNTS, RATIO)
     known = (F.col("method") == "pilot_distributed") | (F.col("partitions") == PARTITIONS)
     return rounded(rates.where(known).withColumn("partitions", F.col("partitions").cast("int")), "misclustering_rate")
+
+
+JOB_RATIOS, REPEATS = (0.4, 0.5), 2
+
+
+def _drawn(i: int) -> str:
+    """The order of the random pilots of repeat ``i``; item ids are numbered from 0 in the order of the part keys."""
+    return sql_hash(f"'pilot-{7 + i}-' || (node - (SELECT min(node) FROM nodes))")
+
+
+@query(
+    "dataset_job_exact",
+    sql(
+        "SELECT ratio, round(avg(rate), 5) AS mean_misclustering_rate FROM ("
+        + " UNION ALL ".join(
+            f"""
+SELECT {r}::DOUBLE AS ratio, round(sum((f.cluster <> m.cluster)::INT) / count(*), 6) AS rate
+FROM found{i}{j} f JOIN named{i}{j} m ON m.block = f.node % 3"""
+            for i, r in enumerate(JOB_RATIOS)
+            for j in range(REPEATS)
+        )
+        + ") GROUP BY ratio",
+        *[_tables(r, f"{i}{j}", _drawn(j), "floor") for i, r in enumerate(JOB_RATIOS) for j in range(REPEATS)],
+    ),
+)
+def _(x):
+    """Named items and classes; new random pilots in each repeat; their number is rounded down."""
+    name = lambda c: F.format_string("item-%012d", F.col(c))
+    items = x.nodes.select(name("node").alias("id"), F.format_string("class %d", F.col("label")).alias("class"))
+    pairs = x.blocks.where("src < dst").select(name("src").alias("src"), name("dst").alias("dst"))
+    return end_to_end.dataset_job(pairs, items, 3, JOB_RATIOS, REPEATS, random=True, rounding="floor")
+
+
+def _large_network(x):
+    raw = x.blocks.where("src < dst")
+    loops = raw.select("src", F.col("src").alias("dst"), "weight")
+    m = split.pilots_for_ratio(x.nodes, RATIO)
+    return end_to_end.large_network_job(raw.unionByName(raw).unionByName(loops), 3, m, 4)
+
+
+LINKED = _tables() + """,
+grouped AS MATERIALIZED (SELECT node, cluster FROM found WHERE node IN (SELECT src FROM inside))"""
+
+
+@query("large_network_exact", sql("SELECT node, cluster FROM grouped", LINKED))
+def _(x):
+    return _large_network(x).result
+
+
+@query(
+    "large_network_density_exact",
+    sql(
+        """
+SELECT within_edges, between_edges, within_pairs, between_pairs,
+  round(between_edges / between_pairs * (within_pairs / within_edges), 6) AS relative_density
+FROM (
+  SELECT sum((a.cluster = b.cluster)::INT)::DOUBLE AS within_edges, sum((a.cluster <> b.cluster)::INT)::DOUBLE AS between_edges
+  FROM inside JOIN grouped a ON a.node = src JOIN grouped b ON b.node = dst),
+  (SELECT sum(n * (n - 1))::DOUBLE AS within_pairs, (sum(n) * sum(n) - sum(n * n))::DOUBLE AS between_pairs
+   FROM (SELECT count(*) AS n FROM grouped GROUP BY cluster))""",
+        LINKED,
+    ),
+)
+def _(x):
+    return rounded(_large_network(x).density, "relative_density")
