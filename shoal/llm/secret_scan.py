@@ -2,19 +2,21 @@
 
 A blob is a text, addressed by its SHA-256. The ledger has one row per blob and rule version
 already scanned, with the spans found. A scan takes all historical versions of all files,
-drops the pairs that the ledger holds, scans the rest and joins the findings back to
-every path that ever had the blob. Only DataFrame functions are used.
+drops the pairs that the ledger holds, scans the rest, adds its rows to the ledger and joins the ledger's findings
+back to every path that ever had the blob. A ledger is a folder of Parquet tables, one per scan, that grows from
+run to run. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shoal.session import cut_lineage
+from shoal.session import scratch_path
 
 # ``reach`` is the largest end of the earlier spans.
 SPANS = "array<struct<start:int,rank:int,kind:string,end:int,reach:int>>"
@@ -75,6 +77,38 @@ def empty_ledger(spark) -> DataFrame:
     return spark.createDataFrame([], LEDGER_SCHEMA)
 
 
+# Session setting with the folder of a ledger that outlives the run; without it each call starts a new one.
+LEDGER_SETTING = "spark.shoal.secretLedger"
+
+
+def ledger_folder(spark: SparkSession) -> str:
+    return spark.conf.get(LEDGER_SETTING, None) or scratch_path(spark, "secret-ledger")
+
+
+def read_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """All rows of the finished scans in ``folder``; none where there is no such folder yet.
+
+    A scan that did not finish has no ``_SUCCESS`` file: its blobs count as not scanned.
+    """
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/scan=*/_SUCCESS")
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place)
+    done = sorted(f.getPath().getParent().toString() for f in files or [])
+    return spark.read.schema(LEDGER_SCHEMA).parquet(*done) if done else empty_ledger(spark)
+
+
+def scan_into_ledger(
+    versions: DataFrame, folder: str, rules: tuple[Rule, ...] = RULES, text_col: str = "text"
+) -> DataFrame:
+    """Scans the blobs that the ledger in ``folder`` does not hold, adds them, and returns the whole ledger.
+
+    Two scans at once may both add a blob; its rows are equal, and readers take one.
+    """
+    spark = versions.sparkSession
+    known = read_ledger(spark, folder)
+    update_ledger(versions, known, rules, text_col).write.parquet(f"{folder}/scan={uuid4().hex}")
+    return read_ledger(spark, folder)
+
+
 def unseen_blobs(versions: DataFrame, text_col: str, ledger: DataFrame | None, version: str) -> DataFrame:
     """One row ``(blob, text)`` per content without a ledger entry for this rule version.
 
@@ -90,7 +124,7 @@ def unseen_blobs(versions: DataFrame, text_col: str, ledger: DataFrame | None, v
 
 
 def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``(blob, spans)`` of every blob; ``spans`` is ordered by start, then by rule.
+    """``(blob, spans)`` of every blob; ``spans`` is ordered by start, then by rule, and empty without a finding.
 
     The offsets come from the pieces between the matches: a match starts after all earlier pieces and
     matches. They are code points, the end exclusive.
@@ -114,16 +148,17 @@ def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
     rows_type = "array<struct<rank:int,gap:int,hit:int,holds:boolean>>"
     marked = blobs.select("blob", F.array(*[pieces(k, r) for k, r in enumerate(rules)]).alias("by_rule"))
-    listed = marked.select("blob", F.explode("by_rule").alias("found")).select("blob", F.posexplode("found"))
+    some = F.filter("by_rule", lambda x: F.size(x) > 0)
+    listed = marked.select("blob", F.explode_outer(some).alias("found")).select("blob", F.posexplode_outer("found"))
     listed = listed.select("blob", "pos", "col.*")
     upto = Window.partitionBy("blob", "rank").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    ends = listed.withColumn("end", F.sum(F.col("gap") + F.col("hit")).over(upto).cast("int")).where("holds")
+    ends = listed.withColumn("end", F.sum(F.col("gap") + F.col("hit")).over(upto).cast("int"))
     earlier = Window.partitionBy("blob").orderBy("start", "rank").rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.withColumn("start", F.col("end") - F.col("hit"))
-    ends = ends.withColumn("reach", F.coalesce(F.max("end").over(earlier), F.lit(0)))
+    ends = ends.withColumn("reach", F.coalesce(F.max(F.when(F.col("holds"), F.col("end"))).over(earlier), F.lit(0)))
     kinds = F.array(*[F.lit(r.kind) for r in rules])
     span = F.struct("start", "rank", F.element_at(kinds, F.col("rank") + 1).alias("kind"), "end", "reach")
-    return ends.groupBy("blob").agg(F.sort_array(F.collect_list(span)).alias("spans"))
+    return ends.groupBy("blob").agg(F.sort_array(F.collect_list(F.when(F.col("holds"), span))).alias("spans"))
 
 
 def update_ledger(
@@ -134,18 +169,8 @@ def update_ledger(
     A blob without findings gets a row with an empty list, so that it is not scanned again.
     """
     version = rule_version(rules)
-    blobs = unseen_blobs(versions, text_col, ledger, version)
-    found = scan_blobs(blobs, rules)
-    none = F.array().cast(SPANS)
-    scanned = blobs.select("blob").join(found, "blob", "left")
-    return scanned.select("blob", F.lit(version).alias("rule_version"), F.coalesce("spans", none).alias("spans"))
-
-
-def new_findings(
-    versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, text_col: str = "text"
-) -> DataFrame:
-    """Blobs with findings among those that the ledger does not hold: ``(blob, spans)``."""
-    return scan_blobs(unseen_blobs(versions, text_col, ledger, rule_version(rules)), rules)
+    scanned = scan_blobs(unseen_blobs(versions, text_col, ledger, version), rules)
+    return scanned.select("blob", F.lit(version).alias("rule_version"), F.col("spans").cast(SPANS).alias("spans"))
 
 
 def known_findings(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -155,25 +180,21 @@ def known_findings(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFr
 
 def findings_by_path(
     versions: DataFrame,
-    ledger: DataFrame | None = None,
+    folder: str | None = None,
     rules: tuple[Rule, ...] = RULES,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """``(doc_id, blob, spans)`` for every row of ``versions``; ``spans`` is null without a finding.
 
-    ``ledger`` has what earlier scans found and is not scanned again. A null text is the
+    The ledger in ``folder`` (see ``ledger_folder``) first gets the blobs that it lacks; all findings are read from it. A null text is the
     empty blob and has no findings. Repeated rows and ids each get a row; other columns are
     not read; an empty table gives no rows. Long texts are scanned whole. A blob that very many
     paths share is a skewed key of one large and one small side: adaptive execution splits the paths.
     """
-    found = new_findings(versions, ledger, rules, text_col)
-    if ledger is not None:
-        found = found.unionByName(known_findings(ledger, rules))
-    # Written, as a ledger is; the join then deals paths by itself and can split a blob that many share.
-    found = cut_lineage(found)
+    ledger = scan_into_ledger(versions, folder or ledger_folder(versions.sparkSession), rules, text_col)
     paths = versions.select(F.col(f"`{id_col}`").alias("doc_id"), blob_of(F.col(f"`{text_col}`")).alias("blob"))
-    return paths.join(found, "blob", "left").select("doc_id", "blob", "spans")
+    return paths.join(known_findings(ledger, rules), "blob", "left").select("doc_id", "blob", "spans")
 
 
 def as_text(spans: Column) -> Column:
@@ -194,15 +215,19 @@ def redacted(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
     return F.when(F.size(F.coalesce(spans, F.array().cast(SPANS))) > 0, F.concat(F.array_join(gaps, mask), F.lit(mask), rest)).otherwise(text)
 
 
-def mask_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
+def mask_secrets(
+    docs: DataFrame, folder: str | None = None, rules: tuple[Rule, ...] = RULES, text_col: str = "text"
+) -> DataFrame:
     """``docs`` with all their columns and rows, the secrets of ``text_col`` masked.
 
-    Columns are carried inside a struct, so none of their names can clash with the join's.
+    The findings come from the ledger, as in ``findings_by_path``. A null text stays null, a text without findings (the empty one too) stays
+    as it is; texts are masked whole; repeated rows stay; an empty table gives an empty one. Columns are carried inside a
+    struct, so none of their names can clash with the join's.
     """
     text = F.col(f"row.`{text_col}`")
+    ledger = scan_into_ledger(docs, folder or ledger_folder(docs.sparkSession), rules, text_col)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    found = cut_lineage(new_findings(docs, None, rules, text_col))
-    joined = rows.withColumn("blob", blob_of(text)).join(found, "blob", "left")
+    joined = rows.withColumn("blob", blob_of(text)).join(known_findings(ledger, rules), "blob", "left")
     return joined.select(
         *[
             (redacted(text, F.col("spans")) if c == text_col else F.col(f"row.`{c}`")).alias(c)

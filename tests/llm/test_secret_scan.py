@@ -34,14 +34,38 @@ def test_spans_match_brute_force(docs):
     assert by_id(found, "said") == {i: brute(t) for i, t in enumerate(TEXTS)}
 
 
-def test_only_unseen_blobs_are_scanned_and_all_paths_get_findings(docs):
+def test_only_unseen_blobs_are_scanned_and_all_paths_get_findings(docs, llm, tmp_path):
+    folder = str(tmp_path / "ledger")
     first = docs([TEXTS[3], TEXTS[2]])
-    ledger = s.update_ledger(first).cache()
+    assert s.read_ledger(llm, folder).count() == 0
+    ledger = s.scan_into_ledger(first, folder)
     assert ledger.count() == 2
     more = docs([TEXTS[3], TEXTS[3], TEXTS[4], TEXTS[2]], [10, 11, 12, 13])
     assert s.unseen_blobs(more, "text", ledger, s.rule_version(s.RULES)).count() == 1
-    said = s.findings_by_path(more, ledger).select("doc_id", s.as_text(F.col("spans")).alias("said"))
+    said = s.findings_by_path(more, folder).select("doc_id", s.as_text(F.col("spans")).alias("said"))
     assert by_id(said, "said") == {10: brute(TEXTS[3]), 11: brute(TEXTS[3]), 12: brute(TEXTS[4]), 13: ""}
+    # A later session reads what both scans left, and has nothing to scan.
+    later = s.read_ledger(llm, folder)
+    assert later.count() == 3
+    assert s.update_ledger(more.unionByName(first), later).count() == 0
+    assert by_id(s.mask_secrets(first, folder), "text")[1] == TEXTS[2]
+
+
+def test_unfinished_scans_count_as_not_scanned(docs, llm, tmp_path):
+    folder = str(tmp_path / "ledger")
+    s.scan_into_ledger(docs([TEXTS[3]]), folder)
+    (one,) = (tmp_path / "ledger").iterdir()
+    (one / "_SUCCESS").unlink()
+    assert s.read_ledger(llm, folder).count() == 0
+    said = s.findings_by_path(docs([TEXTS[3]]), folder).select("doc_id", s.as_text(F.col("spans")).alias("said"))
+    assert by_id(said, "said") == {0: brute(TEXTS[3])}
+
+
+def test_repeated_scans_of_one_blob_give_one_finding(docs, llm, tmp_path):
+    folder = str(tmp_path / "ledger")
+    for at in ("a", "b"):
+        s.update_ledger(docs([TEXTS[3]])).write.parquet(f"{folder}/scan={at}")
+    assert s.findings_by_path(docs([TEXTS[3]] * 2), folder).count() == 2
 
 
 def test_new_rules_scan_old_blobs_again(docs):
