@@ -214,17 +214,33 @@ hit AS (
   SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM found) GROUP BY doc_id),
 ids AS (
   SELECT doc_id, count(*) AS n_items, string_agg(k, ',' ORDER BY k) AS ids
-  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS k FROM found) GROUP BY doc_id)
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS k FROM found) GROUP BY doc_id),
+suffixes AS (
+  SELECT item, q, least(len(v), 10) AS n, v, array_to_string(v[q : q + least(len(v), 10) - 1], ' ') AS g
+  FROM (SELECT item, v, unnest(range(1, greatest(len(v) - 10, 0) + 2)) AS q
+        FROM (SELECT row_number() OVER () AS item, v FROM (SELECT DISTINCT item_id, w AS v FROM b WHERE len(w) > 0)))),
+begun AS (
+  SELECT item, q, v, doc_id, i, w, least(len(v) - q, len(w) - i) + 1 AS room
+  FROM places JOIN suffixes USING (n, g) JOIN d USING (doc_id)),
+matched AS MATERIALIZED (
+  SELECT item, q, doc_id, i,
+    coalesce(nullif(list_position(list_transform(range(0, room), lambda k: v[q + k] <> w[i + k]), true), 0) - 1, room) AS n
+  FROM begun),
+longest AS (
+  SELECT doc_id, max(n) AS longest_match, count(*) AS n_longest
+  FROM (SELECT DISTINCT doc_id, i, n FROM matched JOIN (SELECT item, q, max(n) AS n FROM matched GROUP BY item, q) USING (item, q, n))
+  GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)"""
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+  coalesce(longest_match, 0) AS longest_match, coalesce(n_longest, 0) AS n_longest
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id) LEFT JOIN longest USING (doc_id)"""
 
 
 @query("op9_decontamination", OP9_SQL)
 def _(table):
-    from shoal.llm.decontaminate import contamination
+    from shoal.llm.decontaminate import contamination, with_longest
 
-    found = contamination(table("documents"), table("benchmark"), ["doc_id"])
+    found = with_longest(contamination(table("documents"), table("benchmark"), ["doc_id"], matches=True))
     return found.select(
         "doc_id",
         "n_words",
@@ -232,6 +248,8 @@ def _(table):
         F.size("item_ids").cast("long").alias("n_items"),
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
+        "longest_match",
+        "n_longest",
     )
 
 

@@ -50,10 +50,50 @@ def test_hits_match_brute_force(llm, docs, monkeypatch):
     assert by_id(d.contamination(docs(texts), bench(llm), ["doc_id"]), "n_words", "n_hit", "item_ids") == want
 
 
-def test_longest_matches_have_their_places(llm, docs):
-    text = "z z " + " ".join(f"i{k}" for k in range(4, 19)) + " z"
-    found = d.contamination(docs([text]), bench(llm), ["doc_id"], matches=True).first().matches
-    assert ("12", 2, 4, 15) in {(m.item_id, m.doc_start, m.item_start, m.n_words) for m in found}
+def brute_longest(texts, items):
+    """By document: ``(begin, words)`` of all places of the longest match of some test suffix."""
+    best, places = {}, {}
+    for item in set((k, tuple(words(t))) for k, t in items if words(t)):
+        v = item[1]
+        for q in range(len(v)):
+            for d, t in enumerate(texts):
+                w = words(t)
+                for p in range(len(w)):
+                    n = 0
+                    while p + n < len(w) and q + n < len(v) and w[p + n] == v[q + n]:
+                        n += 1
+                    if n >= min(10, len(v)):
+                        best[item, q] = max(n, best.get((item, q), 0))
+                        places.setdefault((item, q, n), set()).add((d, p))
+    out = {d: set() for d in range(len(texts))}
+    for (item, q), n in best.items():
+        for d, p in places[item, q, n]:
+            out[d].add((p, n))
+    return best, out
+
+
+def test_longest_matches_over_all_shards_match_brute_force(llm, docs, monkeypatch):
+    long = ITEMS[1][1].split()
+    texts = [None, "", "one two three", "z z " + " ".join(long[4:19]) + " z", " ".join(long[4:16]), " ".join(long[6:20]) + " x " + " ".join(long[4:19])]
+    texts += ["a b " * 8, "b a b a b a b a b a b", "q " + " ".join(long[2:14]).upper(), " ".join(long[4:19])] + ["one two three x one two three"] * 2
+    items = [*ITEMS, ("12", " ".join(long[3:] + ["other"])), (None, " ".join(long[5:18]))]
+    best, places = brute_longest(texts, items)
+    assert len(best) > 20
+    for size, block in ((d.SHARD_CHARS, d.BLOCK_WORDS), (1, 10), (100, 30)):
+        monkeypatch.setattr(d, "SHARD_CHARS", size)
+        monkeypatch.setattr(d.read_blocks, "__defaults__", (block,))
+        found = d.contamination(docs(texts).repartition(3), bench(llm, items), ["doc_id"], matches=True)
+        found = d.written(found, "found")
+        suffixes, at = d.longest_matches(found)
+        assert sorted((r.item_id or "", r.item_start, r.n_words) for r in suffixes.collect()) == sorted(
+            (k[0] or "", q, n) for (k, q), n in best.items()
+        )
+        got = {i: set() for i in range(len(texts))}
+        for r in at.collect():
+            got[r.doc_id].add((r.doc_start, r.n_words))
+        assert got == places
+        said = by_id(d.with_longest(found), "longest_match", "n_longest")
+        assert said == {i: (max((n for _, n in p), default=0), len(p)) for i, p in places.items()}
 
 
 def test_removal_keeps_clean_rows_and_columns(llm, docs):
@@ -79,3 +119,6 @@ def test_empty_tables(llm, docs):
     rows = d.contamination(docs(["a b", None]), bench(llm, []), ["doc_id"]).collect()
     assert [(r.n_words, r.n_hit, r.item_ids) for r in rows] == [(2, 0, []), (0, 0, [])]
     assert d.decontaminated(docs(["a b"]), bench(llm, [])).count() == 1
+    for texts, items in (([], ITEMS), (["a b"], [])):
+        found = d.contamination(docs(texts), bench(llm, items), ["doc_id"], matches=True)
+        assert by_id(d.with_longest(found), "longest_match", "n_longest") == dict.fromkeys(range(len(texts)), (0, 0))
