@@ -3,7 +3,7 @@
 A text that is more like good text takes fewer bytes with the good dictionary than with the bad
 one. The difference, divided by the smaller of both sizes, together with how far
 the text compresses at all and how long it is, becomes a probability by a logistic fit on labelled texts
-that neither dictionary has seen.
+that neither dictionary has seen. Where the curve bends is learned from those texts too.
 """
 
 from __future__ import annotations
@@ -28,8 +28,10 @@ DICT_PIECES = 3000
 PIECE_BYTES = 2048
 DICT_BYTES = 112_640
 LEVEL = 3
-# Beyond this the difference says only that a passage is in one of the dictionaries.
-GAP_LIMIT = 0.1
+# Where the curves of the difference and of the ratio bend: quantiles of the calibration texts.
+GAP_KNOTS = (0.1, 0.3, 0.7, 0.9)
+LOW_KNOTS = (0.02, 0.1)
+HIGH_KNOTS = (0.9, 0.98)
 THRESHOLD = 0.3
 
 
@@ -43,6 +45,9 @@ def pieces_of(text: str | None) -> list[bytes]:
 class QualityModel:
     good: bytes
     bad: bytes
+    gaps: np.ndarray
+    lows: np.ndarray
+    highs: np.ndarray
     weights: np.ndarray
 
     def compressors(self) -> list:
@@ -55,24 +60,34 @@ class QualityModel:
             made.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_content_size=False, write_checksum=False))
         return made
 
+    def features(self, measures: np.ndarray) -> np.ndarray:
+        """Straight pieces of the difference and the ratio between their knots, and the length; zeros for a text without bytes.
 
-N_FEATURES = 8
+        Past its last knot a difference counts by its logarithm, so one passage that a dictionary holds cannot outweigh a text.
+        """
+        gap, ratio, length = measures.T
+        scale = max(float(np.abs(self.gaps).max(initial=0)), 1e-3)
+        bent = np.sign(gap) * np.log1p(np.abs(gap) / scale)
+        knots = np.sign(self.gaps) * np.log1p(np.abs(self.gaps) / scale)
+        columns = [bent, bent * length, length, np.minimum(ratio, 1.0)]
+        columns += [np.maximum(0.0, bent - k) for k in knots]
+        columns += [np.maximum(0.0, k - ratio) * 10 for k in self.lows] + [np.maximum(0.0, ratio - k) * 10 for k in self.highs]
+        return np.stack(columns, 1) * (length > 0)[:, None]
 
+    def scores(self, texts: list[str | None], compressors: list) -> np.ndarray:
+        return probabilities(self.features(measures_of(texts, compressors)), self.weights)
 
-def features_of(texts: list[str | None], compressors: list) -> np.ndarray:
-    """Functions of the normalised difference, the plain ratio and the length; zeros for a text without bytes."""
-    out = np.zeros((len(texts), N_FEATURES))
+
+def measures_of(texts: list[str | None], compressors: list) -> np.ndarray:
+    """The normalised size difference, the plain ratio and the log of the bytes of each text; zeros for a text without bytes."""
+    out = np.zeros((len(texts), 3))
     for row, text in enumerate(texts):
         pieces = pieces_of(text)
         if not pieces:
             continue
         good, bad, plain = (sum(len(c.compress(p)) for p in pieces) for c in compressors)
         size = sum(map(len, pieces))
-        ratio, length = min(plain / size, 2.0), np.log(size)
-        gap = min(max((bad - good) / min(bad, good), -GAP_LIMIT), GAP_LIMIT)
-        # The bends let very repetitive and hardly compressible texts stand out.
-        bends = (max(0.0, 0.35 - ratio), max(0.0, 0.2 - ratio), max(0.0, ratio - 0.7))
-        out[row] = (gap, gap * gap, gap * length, length, min(ratio, 1.0), *bends)
+        out[row] = ((bad - good) / min(bad, good), min(plain / size, 2.0), np.log1p(size))
     return out
 
 
@@ -88,7 +103,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS)
     """Learns from at most ``per_class`` labelled documents of each class outside the held-out fold.
 
     Folds 2 to 4 give the dictionaries, of which at most ``DICT_PIECES`` pieces per class
-    reach the driver; fold 1 gives one row of features per document for the calibration.
+    reach the driver; fold 1 gives one row of measures per document for the knots and the weights.
     """
     sample = labelled_sample(docs, labels, "quality", per_class).persist()
     made = F.udf(lambda t: pieces_of(t), "array<binary>")
@@ -96,21 +111,24 @@ def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS)
     order = [F.xxhash64("doc_id", "at"), F.col("doc_id"), F.col("at")]
     few = [cut.where(F.col("label") == k).orderBy(*order).limit(DICT_PIECES) for k in (0, 1)]
     bad, good = ([bytes(r.piece) for r in x.select("piece").collect()] for x in few)
-    model = QualityModel(_dictionary(good), _dictionary(bad), np.zeros(N_FEATURES + 1))
-    rows = _with_features(sample.where("fold = 1"), model).orderBy("doc_id").collect()
+    none = np.zeros(0)
+    model = QualityModel(_dictionary(good), _dictionary(bad), none, none, none, none)
+    rows = _with_measures(sample.where("fold = 1"), model).orderBy("doc_id").collect()
     sample.unpersist()
-    x = np.array([r.features for r in rows]).reshape(-1, N_FEATURES)
-    y = np.array([r.label for r in rows], dtype=float)
-    model.weights = fit_logistic(x, y)
+    measures = np.array([r.measures for r in rows]).reshape(-1, 3)
+    if len(rows):
+        model.gaps = np.quantile(measures[:, 0], GAP_KNOTS)
+        model.lows, model.highs = np.quantile(measures[:, 1], LOW_KNOTS), np.quantile(measures[:, 1], HIGH_KNOTS)
+    model.weights = fit_logistic(model.features(measures), np.array([r.label for r in rows], dtype=float))
     return model
 
 
-def _with_features(sample: DataFrame, model: QualityModel) -> DataFrame:
+def _with_measures(sample: DataFrame, model: QualityModel) -> DataFrame:
     def make():
         compressors = model.compressors()
-        return lambda texts: [features_of(texts, compressors).tolist()]
+        return lambda texts: [measures_of(texts, compressors).tolist()]
 
-    fields = [StructField("features", ArrayType(DoubleType(), False), False)]
+    fields = [StructField("measures", ArrayType(DoubleType(), False), False)]
     return add_from_text(sample, "text", ["doc_id", "label"], fields, make)
 
 
@@ -125,22 +143,23 @@ def quality_scores(docs: DataFrame, model: QualityModel, keep: list[str], text_c
     def make():
         compressors = model.compressors()
 
-        def scored(texts):
-            return [probabilities(features_of(texts, compressors), model.weights)]
-
-        return scored
+        return lambda texts: [model.scores(texts, compressors)]
 
     return add_from_text(docs, text_col, keep, [StructField("score", DoubleType(), False)], make)
 
 
 def accepted(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose score reaches ``threshold``."""
+    """The rows of ``docs``, with all their columns, whose score reaches ``threshold``.
+
+    Null and empty texts have a score like any other, so all of them stay or all go; whole texts are read; repeated rows
+    stay or go together; an empty table gives an empty one.
+    """
 
     @F.pandas_udf("boolean")
     def good(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         compressors = model.compressors()
         for texts in batches:
-            yield pd.Series(probabilities(features_of(list(texts), compressors), model.weights) >= threshold)
+            yield pd.Series(model.scores(list(texts), compressors) >= threshold)
 
     return docs.where(good(F.col(f"`{text_col}`")))
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from llm_support import by_id, docs, llm  # noqa: F401
 
-from shoal.llm.quality_classifier import accepted, fit_quality, quality_query
+from shoal.llm.quality_classifier import PIECE_BYTES, accepted, fit_quality, measures_of, quality_query, quality_scores
 from shoal.llm.toxicity import (
     ToxicityModel,
     extreme_value_fit,
@@ -45,6 +45,42 @@ def test_quality_of_the_held_out_fold(llm):
     assert 0.9 < kept.where("doc_id % 4 <> 0").count() / 300 <= 1.0
 
 
+def test_measures_match_plain_compression(llm):
+    import zstandard
+
+    model = fit_quality(*labelled(llm, 200))
+    texts = [None, "", "x", "é " * 3000, text_of(1, True), text_of(2, False) * 9]
+    got = measures_of(texts, model.compressors())
+    for text, row in zip(texts, got):
+        raw, sizes = (text or "").encode(), []
+        for held in (model.good, model.bad, None):
+            held = {"dict_data": zstandard.ZstdCompressionDict(held)} if held else {}
+            c = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False, **held)
+            sizes.append(sum(len(c.compress(raw[i : i + PIECE_BYTES])) for i in range(0, len(raw), PIECE_BYTES)))
+        want = [0, 0, 0]
+        if raw:
+            good, bad, plain = sizes
+            want = [(bad - good) / min(bad, good), min(plain / len(raw), 2.0), np.log1p(len(raw))]
+        assert row == pytest.approx(want, rel=0.02, abs=0.02 if raw else 0)
+    # A larger difference never means a lower weight of the curve's argument.
+    grown = model.features(np.array([[g, 0.5, 6.0] for g in (-3.0, -0.1, 0.0, 0.1, 3.0)]))[:, 0]
+    assert (np.diff(grown) > 0).all() and abs(grown[-1]) < 20
+
+
+def test_accepted_rows_are_those_whose_score_reaches_the_threshold(llm, docs):
+    model = fit_quality(*labelled(llm, 200))
+    texts = [None, "", "x", text_of(1, True), text_of(2, False), text_of(2, False), "y " * 50000]
+    table = docs(texts, [0, 1, 2, 3, 4, 4, None])
+    scores = quality_scores(table, model, ["doc_id"]).collect()
+    for threshold in (0.0, 0.3, 0.7, 1.1):
+        kept = accepted(table, model, threshold)
+        assert kept.columns == table.columns
+        want = sorted((r.doc_id or -1 for r in scores if r.score >= threshold))
+        assert sorted(r.doc_id or -1 for r in kept.collect()) == want
+    assert len({r.score for r in scores if r.doc_id in (0, 1)}) == 1
+    assert accepted(table.limit(0), model).collect() == []
+
+
 def test_sample_leaves_the_held_out_fold_and_bad_labels_out(llm):
     table, labels = labelled(llm, 100)
     twice = labels.unionByName(labels.selectExpr("doc_id", "1 - quality AS quality", "toxic").where("doc_id = 1"))

@@ -58,3 +58,23 @@ def test_queries_without_sql_give_a_row_each(llm, name):
     if name == "op1_chat_formatting":
         n = llm.read.parquet(f"{SMALL}/conversations.parquet").select("conv_id").distinct().count() + 1
     assert out.count() == n
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_stages_on_odd_rows(llm, docs, empty):
+    texts = [None, "", " \n", "same words here", "same words here", "long " * 20000, "token = abcdefgh12", "é\x00▁ x"]
+    table = docs(texts, [0, 1, 2, 3, 3, 4, 5, None])
+    table = table.limit(0) if empty else table
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(llm, table, SMALL)
+        if name != "sentencepiece":
+            assert out.columns == table.columns
+        got = out.collect()
+        assert not empty or got == []
+        if name in ("secret_scan", "sentencepiece"):
+            assert len(got) == table.count()
+        if name == "decontamination":
+            assert len(got) == table.count()
+        if name == "sentencepiece" and not empty:
+            assert sorted(r.decoded for r in got) == sorted(t or "" for t in texts)
+            assert all(r.n_tokens == len(r.ids) for r in got)
