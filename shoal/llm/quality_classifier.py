@@ -119,7 +119,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS)
     if len(rows):
         model.gaps = np.quantile(measures[:, 0], GAP_KNOTS)
         model.lows, model.highs = np.quantile(measures[:, 1], LOW_KNOTS), np.quantile(measures[:, 1], HIGH_KNOTS)
-    model.weights = fit_logistic(model.features(measures), np.array([r.label for r in rows], dtype=float))
+    # A normal prior of variance one on every weight: few texts cannot bend the curve much, many can.
+    labels_of = np.array([r.label for r in rows], dtype=float)
+    model.weights = fit_logistic(model.features(measures), labels_of, ridge=1.0 / max(len(rows), 1))
     return model
 
 
