@@ -76,5 +76,6 @@ def test_stages_on_odd_rows(llm, docs, empty):
         if name == "decontamination":
             assert len(got) == table.count()
         if name == "sentencepiece" and not empty:
-            assert sorted(r.decoded for r in got) == sorted(t or "" for t in texts)
+            # A whitespace marker in a text becomes a blank.
+            assert sorted(r.decoded for r in got) == sorted((t or "").replace("▁", " ") for t in texts)
             assert all(r.n_tokens == len(r.ids) for r in got)
