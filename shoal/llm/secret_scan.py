@@ -116,11 +116,12 @@ def unseen_blobs(versions: DataFrame, text_col: str, ledger: DataFrame | None, v
     is shuffled once per task.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    blobs = versions.select(blob_of(text).alias("blob"), text.alias("text"))
+    blobs = versions.select(blob_of(text).alias("blob"), text.alias("text")).dropDuplicates(["blob"])
     if ledger is not None:
+        # After the copies have met, so that a hot content is one row; the blobs are dealt by their address already.
         known = ledger.where(F.col("rule_version") == version).select("blob").distinct()
         blobs = blobs.join(known, "blob", "left_anti")
-    return blobs.dropDuplicates(["blob"])
+    return blobs
 
 
 def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
