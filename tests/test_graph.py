@@ -108,3 +108,41 @@ def test_edge_check(frame):
 def test_symmetrize_reads_its_input_once(frame):
     plan = graph.symmetrize(frame([(1, 2, 1.0)], EDGE))._jdf.queryExecution().executedPlan().toString()
     assert "Union" not in plan
+
+
+def order_lines():
+    """Orders of 1 to 30 parts with repeats and nulls."""
+    rows = [(o, (o * 37 + i * 11) % 90) for o in range(60) for i in range(1 + o % 30)]
+    return rows + rows[:40] + [(None, 1), (3, None), (None, None)]
+
+
+def linked_parts(lines):
+    """The graph by brute force: parts of an order with the part of lowest hash in each of four slots."""
+    from hashlib import md5
+
+    orders = {}
+    for o, p in lines:
+        if o is not None and p is not None:
+            orders.setdefault(o, {})[p] = int(md5(f"{o}-{p}".encode()).hexdigest()[:8], 16)
+    anchors = {o: {min((h, p) for p, h in parts.items() if h % 4 == s)[1] for s in {h % 4 for h in parts.values()}} for o, parts in orders.items()}
+    return {(min(p, a), max(p, a), 1.0) for o, parts in orders.items() for p in parts for a in anchors[o] if p != a}
+
+
+def test_part_graph_is_built_in_tasks_that_follow_the_lines(spark, frame, tmp_path, monkeypatch):
+    from shoal import session
+    from shoal.registry import fixtures
+
+    lines = order_lines()
+    frame(lines, "l_orderkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    monkeypatch.setattr(session.shuffle_tasks, "__defaults__", (50,))
+    try:
+        edges = fixtures.graph_edges(spark, str(tmp_path))
+        got = [tuple(r) for r in edges.collect()]
+        assert len(got) == len(set(got)) and set(got) == linked_parts(lines)
+        assert edges.rdd.getNumPartitions() >= len(lines) / 50
+        assert int(spark.conf.get("spark.sql.shuffle.partitions")) >= len(lines) / 50
+        session.size_shuffles(spark, 1)
+        assert int(spark.conf.get("spark.sql.shuffle.partitions")) >= len(lines) / 50  # it only rises
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
