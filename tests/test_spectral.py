@@ -217,3 +217,34 @@ def test_unconverged_iteration_raises(frame):
         spectral.subspace_embed(edges, 3, "svd", rounds=1, tol=1e-9)
     with pytest.raises(RuntimeError):
         kernels.top_eigenvectors(lambda x: np.diag(np.arange(2000.0)) @ x, 2000, 3, depth=2, restarts=1)
+
+
+@pytest.mark.parametrize("method", ["svd", "evd"])
+def test_entries_are_dealt_once_and_stay(frame, monkeypatch, method):
+    """Above every product that joins by sorting, the kept entries have no exchange of their own."""
+    monkeypatch.setattr(spectral, "LEAST_ENTRIES", 20, raising=False)
+    monkeypatch.setattr(spectral, "checked_broadcast", lambda df, bound=None: df)
+    monkeypatch.setattr(spectral, "cut_lineage", lambda df, real=spectral.cut_lineage: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df))
+    plans = []
+    edges, a = table(frame, hub_graph())
+    spark = edges.sparkSession
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = spectral.subspace_embed(edges, 2, method).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(out) == len(a)
+    moved, joined = 0, 0
+    for plan in (p for p in plans if "Join" in p):
+        lines, inside = plan.splitlines(), None
+        depth = lambda line: len(line) - len(line.lstrip(" :+-*"))
+        for i, line in enumerate(lines):
+            if inside is not None and depth(line) > inside:
+                continue  # the plan that made the kept entries
+            inside = depth(line) if "InMemoryRelation" in line else None
+            if "InMemoryTableScan" in line and "weight" in line:
+                joined += 1
+                above = next(x for x in reversed(lines[:i]) if not any(word in x for word in ("Filter", "Project", "Sort [")))
+                moved += "Exchange" in above
+    assert joined and not moved
