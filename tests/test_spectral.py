@@ -248,3 +248,22 @@ def test_entries_are_dealt_once_and_stay(frame, monkeypatch, method):
                 above = next(x for x in reversed(lines[:i]) if not any(word in x for word in ("Filter", "Project", "Sort [")))
                 moved += "Exchange" in above
     assert joined and not moved
+
+
+def test_product_holds_one_column_of_entries_at_a_time(monkeypatch):
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    rows, cols, vals = rng.integers(0, 50, 100_000), rng.integers(0, 40, 100_000), rng.random(100_000)
+    x = rng.normal(size=(40, 16))
+    dense = np.zeros((50, 40))
+    np.add.at(dense, (rows, cols), vals)
+    entries = kernels.Sparse(rows, cols, vals, (50, 40))
+    tracemalloc.start()
+    got = entries.times(x)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(got, dense @ x) and peak < 100_000 * 8 * 8
+    monkeypatch.setattr(kernels, "CHUNK", 777)  # rows that are cut by a chunk
+    assert np.allclose(entries.times(x), dense @ x)
+    assert np.allclose(entries.t_times(got), dense.T @ (dense @ x))
