@@ -241,6 +241,22 @@ def test_further_vectors_shorten_the_iteration_where_values_lie_close():
     assert rounds(True) < 25 < 40 < rounds(False)
 
 
+def test_the_estimated_size_does_not_grow_with_the_rounds(frame, monkeypatch):
+    """A round of joins on checkpoints multiplies the estimate by itself: the driver held its digits."""
+    cut, digits = spectral.cut_lineage, []
+
+    def measured(df):
+        digits.append(len(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())))
+        return cut(df)
+
+    monkeypatch.setattr(spectral, "cut_lineage", measured)
+    a = normalised(planted(60, seed=4, p=0.4, q=0.2))
+    edges, _ = table(frame, a)
+    with pytest.raises(RuntimeError, match="did not converge in 4 rounds"):
+        spectral.subspace_embed(edges, 2, oversample=0, rounds=4, tol=0.0)
+    assert len(digits) > 8 and max(digits) < 100
+
+
 def test_unconverged_iteration_raises(frame):
     edges, _ = table(frame, hub_graph())
     with pytest.raises(RuntimeError):
