@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import NamedTuple
@@ -131,26 +132,28 @@ class DoubleArray:
 
 
 class Chunk(NamedTuple):
-    """One chunk's ids, score, ids in decimal, number of byte pieces, and the bytes that the ids decode to."""
+    """One chunk's ids (32 bits each), score and the bytes that the ids decode to; for digests the ids in decimal and the number of byte pieces."""
 
-    ids: list[int]
+    ids: bytes
     score: float
-    said: str
-    n_bytes: int
     raw: bytes
+    said: str = ""
+    n_bytes: int = 0
 
 
 class UnigramModel:
     """Encoder and decoder over a piece table; one per task, with the chunks it has met.
 
     Chunks are remembered in two generations: when the younger is full it becomes the older, whose chunks
-    come back when they are met again. So frequent ones stay and memory is bounded.
+    come back when they are met again. So frequent ones stay and memory is bounded. ``digests`` keeps what only digests need.
     """
 
     LIMIT = 250_000
+    # Texts whose chunks are held at once, and characters searched at once.
+    TEXTS, CELLS = 250, 200_000
 
-    def __init__(self, table: PieceTable, trie: DoubleArray):
-        self.table, self.trie = table, trie
+    def __init__(self, table: PieceTable, trie: DoubleArray, digests: bool = False, limit: int = LIMIT):
+        self.table, self.trie, self.digests, self.limit = table, trie, digests, limit
         self.arrays = tuple(x.tolist() for x in (trie.base, trie.check, trie.piece))
         self.codes = np.zeros(0x110000, np.int32)
         self.codes[[ord(c) for c in trie.code]] = list(trie.code.values())
@@ -255,18 +258,20 @@ class UnigramModel:
             else:
                 by_length.setdefault(len(rest), []).append(rest)
         for group in by_length.values():
-            for at in range(0, len(group), 20_000):
-                part = group[at : at + 20_000]
+            rows = self.CELLS // (len(group[0]) + 1)
+            for at in range(0, len(group), rows):
+                part = group[at : at + rows]
                 for rest, (ids, score) in zip(part, self.search([MARK + r for r in part])):
                     self._keep(rest, self._chunk_of(ids, score))
 
     def _chunk_of(self, ids: list[int], score: float) -> Chunk:
-        low = self.first_byte
-        n_bytes = sum([low <= i < low + 256 for i in ids])
-        return Chunk(ids, score, ",".join([self.decimal[i] for i in ids]), n_bytes, self.raw(ids))
+        packed, raw, low = array("i", ids).tobytes(), self.raw(ids), self.first_byte
+        if not self.digests:
+            return Chunk(packed, score, raw)
+        return Chunk(packed, score, raw, ",".join([self.decimal[i] for i in ids]), sum([low <= i < low + 256 for i in ids]))
 
     def _keep(self, rest: str, chunk: Chunk) -> Chunk:
-        if len(self.met) >= self.LIMIT:
+        if len(self.met) >= self.limit:
             self.older, self.met = self.met, {}
         self.met[rest] = chunk
         return chunk
@@ -287,18 +292,24 @@ class UnigramModel:
 
     def batch(self, texts: list[str | None]) -> Iterator[list[Chunk]]:
         """The chunks of each whole text of a batch, in order."""
-        cut = [self.rests(t) for t in texts]
-        self.learn(set().union(*cut))
-        for rests in cut:
-            found = list(map(self.met.get, rests))
-            if None in found:
-                found = [self.met.get(r) or self._learn(r) for r in rests]
-            yield found
+        for at in range(0, len(texts), self.TEXTS):
+            cut = [self.rests(t) for t in texts[at : at + self.TEXTS]]
+            self.learn(set().union(*cut))
+            for rests in cut:
+                found = list(map(self.met.get, rests))
+                if None in found:
+                    found = [self.met.get(r) or self._learn(r) for r in rests]
+                yield found
+
+    @staticmethod
+    def ids_of(found: list[Chunk]) -> np.ndarray:
+        """The ids of chunks, one after the other."""
+        return np.frombuffer(b"".join([c.ids for c in found]), np.int32)
 
     def encode(self, text: str) -> tuple[list[int], float]:
         """Ids and total log score of a whole text; an empty text has none."""
         (found,) = self.batch([text])
-        return [i for c in found for i in c.ids], sum([c.score for c in found])
+        return self.ids_of(found).tolist(), sum([c.score for c in found])
 
     def raw(self, ids: list[int]) -> bytes:
         """The bytes of the pieces, byte pieces as their byte and markers as they are."""
@@ -330,6 +341,10 @@ def _parts(path: str):
     return table, DoubleArray(table)
 
 
+# Chunks of a generation where whole ids and texts are made: the tasks of a pipeline share an executor with what its other stages left.
+ENCODED_LIMIT = 100_000
+
+
 def encoded(docs: DataFrame, model_path: str, keep: list[str], text_col: str = "text") -> DataFrame:
     """``keep``, ``ids``, ``log_score`` and ``decoded`` of every row of ``docs``.
 
@@ -342,12 +357,12 @@ def encoded(docs: DataFrame, model_path: str, keep: list[str], text_col: str = "
     parts = docs.sparkSession.sparkContext.broadcast(_parts(model_path))
 
     def make():
-        model = UnigramModel(*parts.value)
+        model = UnigramModel(*parts.value, limit=ENCODED_LIMIT)
 
         def run(texts):
             ids, scores, decoded = [], [], []
             for found in model.batch(texts):
-                ids.append([i for c in found for i in c.ids])
+                ids.append(model.ids_of(found))
                 scores.append(sum([c.score for c in found]))
                 decoded.append(model.text_of(b"".join([c.raw for c in found])))
             return [ids, scores, decoded]
@@ -376,7 +391,7 @@ def encoding_digest(docs: DataFrame, model_path: str, keep: list[str], text_col:
     parts = docs.sparkSession.sparkContext.broadcast(_parts(model_path))
 
     def make():
-        model = UnigramModel(*parts.value)
+        model = UnigramModel(*parts.value, digests=True)
 
         def run(texts):
             rows = []
@@ -384,7 +399,7 @@ def encoding_digest(docs: DataFrame, model_path: str, keep: list[str], text_col:
                 text = model.text_of(b"".join([c.raw for c in found]))
                 rows.append(
                     (
-                        sum([len(c.ids) for c in found]),
+                        len(model.ids_of(found)),
                         sum([c.n_bytes for c in found]),
                         hashlib.sha256(",".join([c.said for c in found]).encode()).hexdigest(),
                         sum([c.score for c in found]),

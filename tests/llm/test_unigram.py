@@ -1,8 +1,10 @@
+import tracemalloc
+
 import pytest
 import sentencepiece
 from llm_support import PIECES, by_id, docs, llm  # noqa: F401
 
-from shoal.llm.unigram import UnigramModel, _parts, encoded, encoding_digest
+from shoal.llm.unigram import ENCODED_LIMIT, UnigramModel, _parts, encoded, encoding_digest
 
 TEXTS = [None, "", " ", "  a  b ", "plain words here", "𝔘𝔫 ok\n\n x\t", "日本語 テキスト", "x" * 3000, "é" * 50, "%%% ***$$$ 12345", "a\x00b", "<s> </s> <0x41>"]
 
@@ -61,3 +63,21 @@ def test_the_search_of_many_chunks_is_that_of_each(model):
     for n in range(6):
         chunks = sorted({"▁" + (a + b + c)[:n].ljust(n, "z") for a in words for b in words for c in words})
         assert model.search(chunks) == [model.chunk(c) for c in chunks]
+
+
+def test_chunks_that_are_met_take_little_memory():
+    """Remembered chunks of a task that makes ids and texts: under 400 bytes each, in two generations of 100,000 at most."""
+    table, trie = _parts(PIECES)
+    texts = [" ".join(f"w{i * 50 + j:x}q" for j in range(50)) for i in range(100)]
+    tracemalloc.start()
+    model = UnigramModel(table, trie, limit=2_000)
+    before = tracemalloc.get_traced_memory()[0]
+    for _ in model.batch(texts):
+        pass
+    after = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    held = len(model.met) + len(model.older)
+    assert 2_000 <= held <= 4_000 and (after - before) / held < 400
+    assert ENCODED_LIMIT < UnigramModel.LIMIT
+    plain, small = UnigramModel(table, trie), UnigramModel(table, trie, limit=2_000)
+    assert [small.ids_of(f).tolist() for f in small.batch(texts)] == [plain.ids_of(f).tolist() for f in plain.batch(texts)]
