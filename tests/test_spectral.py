@@ -313,3 +313,13 @@ def test_product_holds_one_column_of_entries_at_a_time(monkeypatch):
     monkeypatch.setattr(kernels, "CHUNK", 777)  # rows that are cut by a chunk
     assert np.allclose(entries.times(x), dense @ x)
     assert np.allclose(entries.t_times(got), dense.T @ (dense @ x))
+
+
+def test_values_close_to_the_last_wanted_one_do_not_stop_the_local_iteration():
+    # 4,000 values beside each other: too many columns to be factored whole
+    values = np.r_[1.0, np.linspace(0.9, 0.0, 3_999)]
+    found, vectors = kernels.top_eigenvectors(lambda x: values[:, None] * x, len(values), 3)
+    assert np.allclose(found, values[:3], atol=1e-9)
+    assert np.linalg.norm(values[:, None] * vectors - vectors * found, axis=0).max() <= kernels.TOLERANCE
+    assert np.allclose(vectors.T @ vectors, np.eye(3), atol=1e-9)
+    assert np.allclose(np.abs(vectors[:3]), np.eye(3), atol=1e-2)
