@@ -146,3 +146,56 @@ def test_part_graph_is_built_in_tasks_that_follow_the_lines(spark, frame, tmp_pa
         assert int(spark.conf.get("spark.sql.shuffle.partitions")) >= len(lines) / 50  # it only rises
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_map_endpoints_computes_its_edges_once(spark, frame):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    edges = frame([("a", "c"), ("b", "a"), ("c", "b")], "src string, dst string").withColumn(
+        "src", counted.asNondeterministic()("src")
+    )
+    index = frame([("a", 0), ("b", 1), ("c", 2)], "id string, node long")
+    assert rows_of(graph.map_endpoints(edges, index)) == [(0, 2), (1, 0), (2, 1)]
+    assert seen.value == 3
+
+
+@pytest.mark.parametrize("edge", [("z", "a"), ("a", None), (None, "a")])
+def test_any_end_without_a_node_raises(frame, edge):
+    # a node without a number is known
+    index = frame([("a", 0), ("b", None)], "id string, node long")
+    assert rows_of(graph.map_endpoints(frame([("a", "b")], "src string, dst string"), index)) == [(0, None)]
+    with pytest.raises(ValueError, match="'z'" if "z" in edge else "None"):
+        graph.map_endpoints(frame([("a", "a"), edge], "src string, dst string"), index)
+
+
+def test_shuffles_follow_the_rows_of_a_given_table(spark, frame, tmp_path, monkeypatch):
+    from shoal import session
+    from shoal.registry.catalog import QUERIES
+
+    rows = [(p, p % 7, 1.0) for p in range(400)]
+    frame(rows, "l_partkey long, l_suppkey long, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    frame([(p,) for p in range(410)], "p_partkey long").write.parquet(str(tmp_path / "part.parquet"))
+    frame([(s,) for s in range(9)], "s_suppkey long").write.parquet(str(tmp_path / "supplier.parquet"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    monkeypatch.setattr(session.shuffle_tasks, "__defaults__", (50,))
+    try:
+        lists = {(r.node, r.part): r.nbrs for r in QUERIES["adjacency_list_blocks"](spark, str(tmp_path)).collect()}
+        assert lists[(399, 0)] == "0" and lists[(409, 0)] == "" and lists[(-9, 0)] == ""
+        assert int(spark.conf.get("spark.sql.shuffle.partitions")) == 9
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_fused_graph_builds_its_edges_once(spark, frame, tmp_path):
+    from shoal.registry.catalog import QUERIES
+
+    frame(order_lines(), "l_orderkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    frame([(p,) for p in range(90)], "p_partkey long").write.parquet(str(tmp_path / "part.parquet"))
+    fused = QUERIES["fused_graph"](spark, str(tmp_path))
+    assert fused.count() > 0
+    assert "InMemoryTableScan" in fused._jdf.queryExecution().executedPlan().toString()
