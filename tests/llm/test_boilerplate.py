@@ -114,3 +114,36 @@ def test_places_find_every_long_repeat():
             for p in suffix_places(hash_words(s, known), np.array([0])):
                 heads[tuple(s[p : p + HEAD])].add((n, p - at[n]))
         assert any(len({n for n, _ in v}) == 2 for v in heads.values())
+
+
+def test_articles_count_among_what_a_host_repeats(llm):
+    """The streams are whole pages: a passage that another page of the host has in its article is repeated."""
+    rng = random.Random(5)
+    passage, own = _word(rng, 40), _word(rng, 30)
+    rows = [(0, "http://h/a", f"<nav>{_word(rng, 9)}</nav><article><p>{passage}</p><p>{_word(rng, 20)}</p></article>")]
+    rows += [(1, "http://h/b", f"<div>{passage}</div><p>{own}</p>"), (2, "http://other/b", f"<div>{passage}</div><p>{own}</p>")]
+    got = texts(main_text(pages(llm, rows)))
+    assert got[0].startswith(passage) and got[0].count("\n\n") == 1
+    assert got[1] == own and got[2] == f"{passage}\n\n{own}"
+
+
+def test_repeated_heads_are_found_across_batches(llm):
+    from shoal.llm.boilerplate import repeated_heads
+
+    rng = random.Random(3)
+    rows = [(rng.randrange(3), 0, rng.randrange(12)) for _ in range(60)] + [(7, 0, 50)] * 9 + [(8 + k // 5, 0, 51) for k in range(9)]
+    pages_of, want = defaultdict(set), defaultdict(set)
+    for p1, _, h in rows:
+        pages_of[h].add(p1)
+    for p1, _, h in rows:
+        if len(pages_of[h]) > 1:
+            want[p1].add(h)
+    before = llm.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in (1, 2, 3, 100):
+            llm.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(size))
+            table = llm.createDataFrame([(a, b, [h]) for a, b, h in rows], "p1 long, p2 long, heads array<long>")
+            got = repeated_heads(table.repartition("heads"))
+            assert {r.p1: set(r.heads) for r in got.collect()} == dict(want)
+    finally:
+        llm.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
