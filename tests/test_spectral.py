@@ -323,3 +323,52 @@ def test_values_close_to_the_last_wanted_one_do_not_stop_the_local_iteration():
     assert np.linalg.norm(values[:, None] * vectors - vectors * found, axis=0).max() <= kernels.TOLERANCE
     assert np.allclose(vectors.T @ vectors, np.eye(3), atol=1e-9)
     assert np.allclose(np.abs(vectors[:3]), np.eye(3), atol=1e-2)
+
+
+@pytest.fixture
+def in_blocks(monkeypatch):
+    """Every table of the joins route goes by blocks, of several nodes each."""
+    monkeypatch.setattr(spectral, "BLOCK_ENTRIES", 0)
+    monkeypatch.setattr(spectral, "LEAST_ENTRIES", 500)
+    monkeypatch.setattr(spectral, "checked_broadcast", None)  # a product by joins would need it
+
+
+@pytest.mark.parametrize("method, symmetric", [("svd", False), ("svd", True), ("evd", False)])
+def test_embedding_by_blocks_matches_dense(frame, in_blocks, monkeypatch, method, symmetric):
+    from shoal.operators import blocks
+
+    monkeypatch.setattr(blocks, "CHUNK", 37)
+    monkeypatch.setattr(blocks, "PAIR_ENTRIES", 300)
+    lap = normalised(planted(), 1.0)
+    edges, names = table(frame, lap)
+    more = frame([(None, 5, 1.0), (5, None, 1.0)], EDGE)
+    got = matrix(spectral.spectral_embed(edges.unionByName(more), 3, method, local_entries=0, symmetric=symmetric), names)
+    lam, vec = np.linalg.eigh(lap)
+    want = np.linalg.svd(lap)[0][:, :3] if method == "svd" else vec[:, np.argsort(-lam)[:3]]
+    assert np.allclose(got.T @ got, np.eye(3), atol=1e-5)
+    assert np.allclose(np.abs((got * want).sum(0)), 1, atol=1e-5)
+
+
+def test_groups_and_rectangles_by_blocks(frame, in_blocks):
+    rng = np.random.default_rng(0)
+    parts = []
+    for g in (1, 2):
+        a = (rng.random((40, 12)) < 0.3) * rng.random((40, 12)) + 0.2 * np.outer(np.arange(40) % 2, np.arange(12) % 2)
+        parts.append((g, a))
+    rows = [(g, int(i), int(j), float(a[i, j])) for g, a in parts for i, j in zip(*np.nonzero(a))]
+    out = spectral.spectral_embed(frame(rows, "partition_id int, " + EDGE), 2, by=["partition_id"]).collect()
+    for g, a in parts:
+        found = {r.node: r.vec for r in out if r.partition_id == g}
+        got = np.array([found.get(i, [0.0, 0.0]) for i in range(40)])
+        assert np.allclose(np.abs((got * np.linalg.svd(a)[0][:, :2]).sum(0)), 1, atol=1e-5)
+
+
+def test_a_product_by_blocks_shuffles_nothing(frame, in_blocks, monkeypatch):
+    from shoal.operators import blocks
+
+    plans, put = [], blocks._put
+    monkeypatch.setattr(blocks, "_put", lambda df, path, packed=False: plans.append(df._jdf.queryExecution().executedPlan().toString()) or put(df, path, packed))
+    edges, _ = table(frame, normalised(planted(), 1.0))
+    spectral.spectral_embed(edges, 3, local_entries=0, symmetric=True).collect()
+    moved = ["Exchange" in p for p in plans]
+    assert len(moved) > 8 and sum(moved) == 2 and not any(moved[2:])  # names and entries; then products and restarts
